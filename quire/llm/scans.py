@@ -9,6 +9,7 @@ repetition over pages, page numbers by their notation, broken words by the lexic
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,9 +45,9 @@ _WORD = "(?:" + "|".join(PAGE_WORDS) + r")\.?"
 PAGE_NUMBER = re.compile(rf"[\W_]*(?:{_WORD}\s*)?{_NUMBER}(?:\s*(?:/|\||-|–|{_WORD})\s*\d{{1,5}})?[\W_]*", re.I)
 
 TOKEN = re.compile(r"[^\W_][^\W_†˘]*(?:[†˘][^\W_†˘]*|[!,](?=[^\W\d_]))*[^\W_†˘]*!?|†[^\W_†˘]*(?:[†˘!,](?=[^\W\d_])[^\W_]*)*")
-COMPOUND = re.compile(r"[^\W\d_]{2,}-[^\W\d_]{2,}")
+COMPOUND = re.compile(r"(?<![^\W_])[^\W\d_]{2,}+-[^\W\d_]{2,}+")
 #: Signs of a break at the end of a line, with the word's first part, and the second part on the next line.
-BROKEN = re.compile(r"([^\W\d_]+[^\W_†˘]*)([-‐‑¬­])[ \t]*\n[ \t]*([^\W_†˘]+)")
+BROKEN = re.compile(r"[-‐‑¬­][ \t]*\n[ \t]*([^\W_]+)")
 _STRUCTURE = ("|", "#", "```", "~~~", "$$", "<", "![")
 
 
@@ -61,14 +62,18 @@ def is_word(token: str) -> bool:
 # ---------------------------------------------------------------- statistics of the corpus
 
 
-def _bucket(a: str, b: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{a} {b}") & (PAIR_BUCKETS - 1)
+class _Hashes(dict):
+    """31-bit hashes of words, made once."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word) & 0x7FFFFFFF
+        return h
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts on clean and scanned pages, and pair buckets, added up within the partition."""
     clean, scanned, compounds = Counter(), Counter(), Counter()
-    known: dict[str, int] = {}
+    known = _Hashes()
     pairs = np.zeros(PAIR_BUCKETS, np.int32)
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -89,9 +94,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = lowered(text)
             ws = TOKEN.findall(low)
             (scanned if scan else clean).update(ws)
-            compounds.update(COMPOUND.findall(low))
-            h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFF) for w in ws), np.int64, len(ws))
-            if len(h) > 1:
+            if "-" in low:
+                compounds.update(COMPOUND.findall(low))
+            if len(ws) > 1:
+                h = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
                 np.add.at(pairs, pair_bucket(h[:-1], h[1:]), 1)
         if len(known) > 300_000:  # a bound of memory: what was counted goes out, and counting starts anew
             yield from flush()
@@ -171,8 +177,8 @@ class Channel:
         self.table, self.pairs = table, pairs
 
     def pair(self, a: str, b: str) -> float:
-        h = [xxhash.xxh3_64_intdigest(x) & 0x7FFFFFFF for x in (a, b)]
-        return PAIR_WEIGHT * float(np.log1p(self.pairs[int(pair_bucket(h[0], h[1]))]))
+        h = np.array([[xxhash.xxh3_64_intdigest(x) & 0x7FFFFFFF] for x in (a, b)])
+        return PAIR_WEIGHT * math.log1p(self.pairs[pair_bucket(h[0], h[1])[0]])
 
     def decode(self, words: list[str], prior: float) -> dict[int, str]:
         """Viterbi over the candidates of a line's words; prior is added for each corrected word. Place -> word meant."""
@@ -229,14 +235,17 @@ def broken_words(text: str, lexicon) -> list[tuple[int, int, str]]:
     """(start, end, joined word) of words broken over two lines; ``lexicon`` gives a word's weight or None."""
     out = []
     for m in BROKEN.finditer(text):
-        a, b = m.group(1), m.group(3)
-        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()].lstrip()
-        if line.startswith(("|", "```")) or not b[0].isalpha() or (b[0].isupper() and not a.isupper()):
+        start = m.start()
+        while start and m.start() - start <= LONGEST and text[start - 1].isalnum():
+            start -= 1
+        a, b = text[start : m.start()], m.group(1)
+        line = text[text.rfind("\n", 0, start) + 1 : start].lstrip()
+        if not a or not a[0].isalpha() or len(a) > LONGEST or line.startswith(("|", "```")) or not b[0].isalpha() or (b[0].isupper() and not a.isupper()):
             continue
         joined, compound = lowered(a + b), lowered(f"{a}-{b}")
         if (lexicon(compound) or 0) > (lexicon(joined) or 0):
             continue
-        out.append((m.start(), m.end(), a + b))
+        out.append((start, m.end(), a + b))
     return out
 
 
@@ -256,11 +265,12 @@ def page_repairs(text: str, channel: Channel, compounds, prior: float) -> tuple[
         text = text[:start] + word + "\n" + text[end:].lstrip(" \t")
     kept = [m.span() for m in _FENCED.finditer(text)]
     out, last, fixed, k = [], 0, 0, 0
-    at = 0
+    at, table = 0, channel.table
     for line in text.split("\n"):
-        tokens = list(TOKEN.finditer(line))
-        ws = [lowered(m.group()) for m in tokens]
-        if any(w in channel.table for w in ws):
+        low = lowered(line)
+        ws = TOKEN.findall(low)
+        if not table.keys().isdisjoint(ws):
+            tokens = list(TOKEN.finditer(low))
             for i, meant in channel.decode(ws, prior).items():
                 a, b = at + tokens[i].start(), at + tokens[i].end()
                 while k < len(kept) and kept[k][1] <= a:
