@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import LANGS, cut, read, strings
 
 #: Labelled chunks on which the centroids are fitted, at most about; drawn by a hash of the id, language by language.
-SAMPLE_DOCUMENTS, SAMPLE_CHUNKS = 150, 6000
+SAMPLE_DOCUMENTS, SAMPLE_CHUNKS = 100, 2000
+#: Units of those chunks that are used, evenly drawn; bounds the driver's memory (4 bytes a feature each).
+SAMPLE_UNITS = 10_000
 FEATURES, CENTROIDS, ROUNDS = 1024, 3, 6
 #: Words from which a unit is classified by itself; sentences in a row that make a segment; share of the sample that rejection may lose.
 LEAST_WORDS, LEAST_SENTENCES, REJECTED = 4, 2, 0.002
@@ -96,6 +98,9 @@ def fit(labelled: list[tuple[str, str]], seed: int = 4) -> Model:
             if n >= LEAST_WORDS and whole:
                 label.append(LANGS.index(lang))
                 texts.append(letters)
+    if len(texts) > SAMPLE_UNITS:
+        take = np.linspace(0, len(texts) - 1, SAMPLE_UNITS).astype(int)
+        label, texts = [label[i] for i in take], [texts[i] for i in take]
     label_a = np.array(label, np.int64)
     counts = np.concatenate([features(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]) if texts else np.zeros((0, FEATURES), np.float32)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
@@ -192,7 +197,8 @@ def fit_on(labels: DataFrame, chunks: DataFrame, document: str, label: str, text
             drawn[r["document_id"]] = r["lang"]
     if not drawn:
         return fit([])
-    some = chunks.select(F.col(document).alias("document_id"), F.col(text).alias("t")).filter(F.col("document_id").isin(list(drawn)) & (F.length("t") > 200))
+    # the sample's texts are bounded too; classification reads whole texts
+    some = chunks.select(F.col(document).alias("document_id"), F.substring(F.col(text), 1, 4000).alias("t")).filter(F.col("document_id").isin(list(drawn)) & (F.length("t") > 200))
     rows = some.orderBy(F.xxhash64("t"), "document_id").limit(SAMPLE_CHUNKS).collect()
     return fit([(drawn[r["document_id"]], r["t"]) for r in rows])
 
