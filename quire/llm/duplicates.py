@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, offsets, read, strings, words
 
 #: Trees, levels and branches of a level; records of a node that are compared exhaustively at most.
-TREES, LEVELS, BRANCHES, NODE = 6, 4, 2, 16
+TREES, LEVELS, BRANCHES, NODE = 6, 4, 2, 64
 #: Minwise functions; the first TREES * LEVELS * BRANCHES choose paths, two bits of each make the sketch.
 FUNCTIONS = 64
 _ODD = mix64(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
