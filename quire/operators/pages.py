@@ -69,18 +69,18 @@ def running_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
     pages or more, outermost lines equal on a twentieth or more, and outermost lines that
     differ by a number moving with the page on half or more; three pages at least each.
     """
-    with_text = pages.filter(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")) != "").groupBy(key).agg(F.count("*").alias("n")).filter("n >= 3")
-    index = pages.select(key, "page_number").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("page_number")) - 1)
-    edges = edge_lines(pages, key, text).join(with_text, key).join(index, [key, "page_number"]).withColumn("k", normalize_line(F.col("line"))).withColumn("outer", (F.col("top") == 1) | (F.col("bottom") == 1))
-    short = edges.filter((F.length("line") <= 120) & (F.col("k") != ""))
-    half, twentieth = F.greatest(F.lit(3), F.ceil(F.col("n") * 0.5)), F.greatest(F.lit(3), F.ceil(F.col("n") * 0.05))
-    times = short.groupBy(key, "n", "k").agg(F.count_distinct("page_number").alias("all"), F.count_distinct(F.when(F.col("outer"), F.col("page_number"))).alias("outermost"))
-    repeated = times.select(key, "k", (F.col("all") >= half).alias("any"), (F.col("outermost") >= twentieth).alias("edge")).filter("any OR edge")
-    by_text = short.join(repeated, [key, "k"]).filter(F.col("any") | (F.col("edge") & F.col("outer"))).select(key, "page_number", "i")
-    numbered = edges.filter(F.col("outer") & ~F.col("line").rlike(r"^\s*#") & (F.length("line") <= 80) & (F.size(F.split("k", " ")) <= 6) & F.col("k").rlike(r"[0-9]")).withColumn("pattern", F.regexp_replace("k", r"[0-9]+", "#"))
-    numbers = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("k", F.lit(r"([0-9]+)"), 1), lambda x: x.cast("double") - F.col("at"))))
-    steady = numbered.select(key, "n", "pattern", "page_number", "top", numbers.alias("shift")).groupBy(key, "n", "pattern", "shift").agg(F.count_distinct("page_number").alias("c")).filter(F.col("c") >= half).select(key, "pattern").distinct()
-    return by_text.unionByName(numbered.join(steady, [key, "pattern"]).select(key, "page_number", "i")).distinct()
+    with_text = pages.filter(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")) != "").groupBy(key).agg(F.count("*").alias("_n")).filter("_n >= 3")
+    index = pages.select(key, "page_number").withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("page_number")) - 1)
+    edges = edge_lines(pages, key, text).join(with_text, key).join(index, [key, "page_number"]).withColumn("_k", normalize_line(F.col("line"))).withColumn("_outer", (F.col("top") == 1) | (F.col("bottom") == 1))
+    short = edges.filter((F.length("line") <= 120) & (F.col("_k") != ""))
+    half, twentieth = F.greatest(F.lit(3), F.ceil(F.col("_n") * 0.5)), F.greatest(F.lit(3), F.ceil(F.col("_n") * 0.05))
+    times = short.groupBy(key, "_n", "_k").agg(F.count_distinct("page_number").alias("_all"), F.count_distinct(F.when(F.col("_outer"), F.col("page_number"))).alias("_outermost"))
+    repeated = times.select(key, "_k", (F.col("_all") >= half).alias("_any"), (F.col("_outermost") >= twentieth).alias("_edge")).filter("_any OR _edge")
+    by_text = short.join(repeated, [key, "_k"]).filter(F.col("_any") | (F.col("_edge") & F.col("_outer"))).select(key, "page_number", "i")
+    numbered = edges.filter(F.col("_outer") & ~F.col("line").rlike(r"^\s*#") & (F.length("line") <= 80) & (F.size(F.split("_k", " ")) <= 6) & F.col("_k").rlike(r"[0-9]")).withColumn("_pattern", F.regexp_replace("_k", r"[0-9]+", "#"))
+    numbers = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_k", F.lit(r"([0-9]+)"), 1), lambda x: x.cast("double") - F.col("_at"))))
+    steady = numbered.select(key, "_n", "_pattern", "page_number", "top", numbers.alias("_shift")).groupBy(key, "_n", "_pattern", "_shift").agg(F.count_distinct("page_number").alias("_c")).filter(F.col("_c") >= half).select(key, "_pattern").distinct()
+    return by_text.unionByName(numbered.join(steady, [key, "_pattern"]).select(key, "page_number", "i")).distinct()
 
 
 def without_running_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
