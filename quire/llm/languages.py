@@ -25,6 +25,8 @@ SAMPLE_UNITS = 10_000
 FEATURES, CENTROIDS, ROUNDS = 1024, 3, 6
 #: Words from which a unit is classified by itself; sentences in a row that make a segment; share of the sample that rejection may lose.
 LEAST_WORDS, LEAST_SENTENCES, REJECTED = 4, 2, 0.002
+#: Sample units under which a language is not learnt.
+LEAST_UNITS = 20
 #: Weight of a word in a unit that no centroid accepts, when the main language is counted.
 UNSURE = 1e-4
 
@@ -105,7 +107,7 @@ def fit(labelled: list[tuple[str, str]], seed: int = 4) -> Model:
     counts = np.concatenate([features(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]) if texts else np.zeros((0, FEATURES), np.float32)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = vectors(counts, idf)
-    present = [g for g in range(len(LANGS)) if (label_a == g).sum() >= CENTROIDS]
+    present = [g for g in range(len(LANGS)) if (label_a == g).sum() >= LEAST_UNITS]
     if not present:
         return Model(idf, np.zeros((1, FEATURES), np.float32), np.zeros(1, np.int64), np.full(1, 2.0))
     mean = np.stack([x[label_a == g].mean(axis=0) for g in present])

@@ -165,6 +165,14 @@ def corrections(lexicon: DataFrame) -> DataFrame:
     return joined.filter(F.col("gain") > -3).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= KEPT).drop("k")
 
 
+def hyphened(lexicon: DataFrame) -> DataFrame:
+    """(word, form, gain) of words that the corpus writes with a hyphen more often than without; form is empty."""
+    count = F.col("clean") + F.col("scanned")
+    with_sign = lexicon.filter(F.col("word").contains("-") & (count > 1)).select("word", F.regexp_replace("word", "-", "").alias("bare"), count.alias("n"))
+    bare = lexicon.select(F.col("word").alias("bare"), count.alias("m"))
+    return with_sign.join(bare, "bare", "left").filter(F.col("n") > F.coalesce("m", F.lit(0))).select("word", F.lit("").alias("form"), F.lit(0.0).alias("gain"))
+
+
 # ---------------------------------------------------------------- decoding of pages
 
 PAIR_WEIGHT = 0.5
@@ -231,8 +239,8 @@ def running_key(line: str) -> str:
     return s if sum(ch.isalpha() for ch in s) >= 4 else ""
 
 
-def broken_words(text: str, lexicon) -> list[tuple[int, int, str]]:
-    """(start, end, joined word) of words broken over two lines; ``lexicon`` gives a word's weight or None."""
+def broken_words(text: str, compounds) -> list[tuple[int, int, str]]:
+    """(start, end, joined word) of words broken over two lines; ``compounds`` holds the words written with a hyphen."""
     out = []
     for m in BROKEN.finditer(text):
         start = m.start()
@@ -242,8 +250,7 @@ def broken_words(text: str, lexicon) -> list[tuple[int, int, str]]:
         line = text[text.rfind("\n", 0, start) + 1 : start].lstrip()
         if not a or not a[0].isalpha() or len(a) > LONGEST or line.startswith(("|", "```")) or not b[0].isalpha() or (b[0].isupper() and not a.isupper()):
             continue
-        joined, compound = lowered(a + b), lowered(f"{a}-{b}")
-        if (lexicon(compound) or 0) > (lexicon(joined) or 0):
+        if lowered(f"{a}-{b}") in compounds:
             continue
         out.append((start, m.end(), a + b))
     return out
@@ -258,9 +265,9 @@ def restore_case(printed: str, meant: str) -> str:
 _FENCED = re.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)|\$\$.*?\$\$|`[^`\n]*`|\]\([^)\n]*\)|<[^<>\n]*>", re.M | re.S)
 
 
-def page_repairs(text: str, channel: Channel, compounds, prior: float) -> tuple[str, bool, int]:
+def page_repairs(text: str, channel: Channel, prior: float) -> tuple[str, bool, int]:
     """(text with broken words joined and misread ones corrected, whether a word was broken, words corrected)."""
-    broken = broken_words(text, compounds)
+    broken = broken_words(text, channel.table)
     for start, end, word in reversed(broken):
         text = text[:start] + word + "\n" + text[end:].lstrip(" \t")
     kept = [m.span() for m in _FENCED.finditer(text)]
@@ -291,10 +298,10 @@ _CHANNELS: dict[str, Channel] = {}
 
 
 def _repair(shared, keep_text: bool):
-    """shared: broadcast of (corrections or None, compounds, pairs); without corrections each row brings its own."""
+    """shared: broadcast of (corrections or None, pairs); without corrections each row brings its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, compounds, pairs = shared.value
+        table, pairs = shared.value
         whole = Channel(table, pairs) if table is not None else None
         for batch in batches:
             rows = []
@@ -308,7 +315,7 @@ def _repair(shared, keep_text: bool):
                     channel = Channel(by, pairs)
                 # the less sure the layout was of a page's text, the likelier confusions are; unknown counts as sure
                 prior = 2.0 * (1.0 - min(1.0, max(0.0, sure if sure is not None else 1.0)))
-                fixed, broken, misread = page_repairs(text, channel, compounds.get, prior)
+                fixed, broken, misread = page_repairs(text, channel, prior)
                 edges = [{"rank": r, "line": i, "key": running_key(x), "number": bool(PAGE_NUMBER.fullmatch(x))} for r, i, x in edge_lines(text)]
                 rows.append((fixed if keep_text else None, broken, misread, edges))
             cols = list(zip(*rows)) or [[]] * 4
@@ -321,7 +328,9 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, ws = [], []
         for i, t in enumerate(strings(batch, 2)):
-            for w in set(TOKEN.findall(lowered(t))):
+            low = lowered(t)
+            compounds = {low[m.start() - len(a) : m.start()] + "-" + m.group(1) for m in BROKEN.finditer(low) for a in [re.search(r"[^\W_]*\Z", low[max(0, m.start() - LONGEST) : m.start()]).group()]}
+            for w in compounds.union(TOKEN.findall(low)):
                 at.append(i)
                 ws.append(w)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(ws, pa.string())], ["document_id", "page_number", "word"])
@@ -340,7 +349,7 @@ def repaired_pages(pages: DataFrame, blocks: DataFrame | None = None, keep_text:
     cols = cols.filter("document_id IS NOT NULL AND page_number IS NOT NULL")
     counted = cut(cols.select("text", "scanned").mapInArrow(_count, "word string, bucket int, clean long, scanned long").groupBy("word", "bucket").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned")))
     lexicon = counted.filter("bucket < 0").drop("bucket")
-    found = cut(corrections(lexicon))
+    found = cut(corrections(lexicon).unionByName(hyphened(lexicon)))
     pairs = np.zeros(PAIR_BUCKETS, np.int32)
     bucket_rows = counted.filter("bucket >= 0").select("bucket", F.least(F.col("clean"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most PAIR_BUCKETS rows
     pairs[bucket_rows.column(0).to_numpy()] = bucket_rows.column(1).to_numpy()
@@ -349,12 +358,7 @@ def repaired_pages(pages: DataFrame, blocks: DataFrame | None = None, keep_text:
     if few:
         for r in found.collect():
             table.setdefault(r["word"], []).append((r["form"], r["gain"]))
-    # compounds decide whether a hyphen belongs to a word; rare ones beyond the bound are taken for broken words
-    hyphened = lexicon.filter(F.col("word").contains("-") & (F.col("clean") + F.col("scanned") > 1)).orderBy(F.desc("clean"), "word").limit(sent // 4).collect()
-    halves = [r["word"].replace("-", "") for r in hyphened]
-    joined = {r["word"]: r["clean"] + r["scanned"] for i in range(0, len(halves), 5000) for r in lexicon.filter(F.col("word").isin(halves[i : i + 5000])).collect()}
-    compounds = {r["word"]: r["clean"] + r["scanned"] for r in hyphened} | joined
-    shared = spark.sparkContext.broadcast((table, compounds, pairs))
+    shared = spark.sparkContext.broadcast((table, pairs))
     latest = cols.groupBy("document_id", "page_number").agg(F.max_by("text", "ingested_at").alias("text"))
     if blocks is None:
         trusted = latest.withColumn("sure", F.lit(None).cast("double"))
