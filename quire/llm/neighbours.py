@@ -1,9 +1,10 @@
 """Problem 5: the most similar vectors of every vector, by an inverted file with product-quantised residuals.
 
 Coarse centroids (k-means on a bounded sample) divide the vectors into lists; each vector is
-stored in its nearest list and searched in its PROBES nearest ones. Within a list, residuals
-are product-quantised, scored by asymmetric distance tables, and the best are reranked with
-the exact cosine of the vectors themselves. Every vector is indexed and every one is a query.
+stored in its nearest list and searched in its nearest ones: as many as hold COVER of the true
+neighbours of a few drawn vectors, which are compared with all. Within a list, residuals are
+product-quantised, scored by asymmetric distance tables, and the best are reranked with the
+exact cosine of the vectors themselves. Every vector is indexed and every one is a query.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from .common import cut, read
 #: Vectors on which centroids and codebooks are fitted, at most (about; drawn by a hash of the key). Not a bound of the index.
 SAMPLE = 32_768
 #: Vectors a list holds on average, lists at most, and stored vectors of a list that one task compares.
-LIST, LISTS, BLOCK = 256, 4096, 4096
-PROBES, PARTS, CODES, RERANK, ROUNDS = 4, 8, 256, 32, 8
+LIST, LISTS, BLOCK = 2048, 4096, 4096
+#: Lists searched at least; share of the drawn vectors' true neighbours that the searched lists hold; vectors drawn for that (about).
+PROBES, COVER, DRAWN = 4, 0.98, 256
+#: Points of a list (or block) reranked for a query: RERANK at least, and one in SHARE.
+RERANK, SHARE = 128, 16
+PARTS, CODES, ROUNDS = 16, 256, 8
 
 
 class Index(NamedTuple):
@@ -92,9 +97,9 @@ def search_list(queries: np.ndarray, points: np.ndarray, centroid: np.ndarray, b
     q, p = unit(queries), unit(points)
     q32 = q.astype(np.float32)
     codes = encode(p.astype(np.float32) - centroid, books)
-    keep = min(max(RERANK, k + 1), len(p))
+    keep = min(max(RERANK, k + 1, len(p) // SHARE), len(p))
     w, rows, cols, sims = books.shape[2], [], [], []
-    step = max(1, 4_000_000 // len(p))
+    step = max(1, min(4_000_000 // len(p), 256_000 // keep))
     for i in range(0, len(q), step):
         s = np.zeros((min(step, len(q) - i), len(p)), np.float32)  # the centroid's part is the same for all points of the list
         if keep < len(p):
@@ -143,6 +148,50 @@ def _assign(shared, dim: int, probes: int):
     return run
 
 
+def _true(shared, keys: list[str], queries: np.ndarray, k: int):
+    """(query, similarity, list) of the k most similar vectors of each query among the rows of a partition."""
+
+    def run(batches):
+        index: Index = shared.value
+        at = {key: i for i, key in enumerate(keys)}
+        best, home = np.full((len(keys), k), -2.0), np.full((len(keys), k), -1, np.int32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, queries.shape[1]))
+            lists = nearest(x, index.centroids, 1, True)[:, 0]
+            s = queries @ x.T
+            for j, key in enumerate(batch.column(0).to_pylist()):
+                if key in at:
+                    s[at[key], j] = -2
+            s, lists = np.concatenate([best, s], axis=1), np.concatenate([home, np.broadcast_to(lists, s.shape)], axis=1)
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best, home = np.take_along_axis(s, top, 1), np.take_along_axis(lists, top, 1)
+        q, j = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(best[q, j], pa.float64()), pa.array(home[q, j], pa.int32())], ["query", "similarity", "list"])
+
+    return run
+
+
+def probes_for(vectors: DataFrame, shared, total: int, k: int, dim: int) -> int:
+    """The lists to search for COVER of the true neighbours, measured with about DRAWN vectors against all."""
+    centroids = shared.value.centroids
+    if len(centroids) <= PROBES:
+        return PROBES
+    drawn = vectors.filter(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 30)) < F.lit(int(min(1.0, DRAWN / total) * (1 << 30)))).select("key", "v").toArrow().combine_chunks()
+    if not len(drawn):
+        drawn = vectors.select("key", "v").limit(DRAWN).toArrow().combine_chunks()
+    queries = unit(np.asarray(drawn.column(1).combine_chunks().flatten(), np.float32).reshape(-1, dim))
+    pairs = vectors.select("key", "v").mapInArrow(_true(shared, drawn.column(0).to_pylist(), queries, k), "query int, similarity double, list int")
+    first = Window.partitionBy("query").orderBy(F.desc("similarity"), "list")
+    true = pairs.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).select("query", "list").toArrow()
+    if not len(true):
+        return PROBES
+    near = nearest(queries, centroids, len(centroids), True)
+    place = (near[true.column(0).to_numpy()] == true.column(1).to_numpy()[:, None]).argmax(axis=1)
+    return max(PROBES, int(np.sort(place)[int(np.ceil(COVER * len(place))) - 1]) + 1)
+
+
 def _search(shared, dim: int, k: int, least: float | None):
     def run(group: pa.Table) -> pa.Table:
         index: Index = shared.value
@@ -165,7 +214,7 @@ def _search(shared, dim: int, k: int, least: float | None):
     return run
 
 
-def most_similar(df: DataFrame, key: str, vector: str, version: str | None = None, k: int = 5, dim: int = 64, least: float | None = None, probes: int = PROBES) -> DataFrame:
+def most_similar(df: DataFrame, key: str, vector: str, version: str | None = None, k: int = 5, dim: int = 64, least: float | None = None, probes: int | None = None) -> DataFrame:
     """(key, neighbour, similarity, rank): the k most similar other keys of each key with a usable vector.
 
     Usable vectors have ``dim`` numbers, none null or NaN, not all zero; others, and null
@@ -173,7 +222,8 @@ def most_similar(df: DataFrame, key: str, vector: str, version: str | None = Non
     the greatest ``version``. Ties go to the smaller key. Of more than k + 1 exact copies of
     a vector, the first k + 1 keys are indexed and the others get the first k as neighbours,
     which is the exact answer. ``least`` drops less similar neighbours (of the k, before
-    the merge). Other columns are not read.
+    the merge). ``probes`` is the number of lists searched for a vector, by default what
+    ``probes_for`` measures. Other columns are not read.
     """
     spark = df.sparkSession
     v = F.col("v")
@@ -189,6 +239,7 @@ def most_similar(df: DataFrame, key: str, vector: str, version: str | None = Non
     if not len(sample):
         sample = np.asarray(vectors.select("v").limit(1).toArrow().column(0).combine_chunks().flatten(), np.float32).reshape(-1, dim)
     shared = spark.sparkContext.broadcast(fit(sample, total))
+    probes = probes or probes_for(vectors, shared, total, k, dim)
     many = vectors.groupBy("same").count().filter(F.col("count") > k + 1).select("same")
     first = vectors.join(many, "same", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("same").orderBy("key"))).filter(F.col("n") <= k + 1)
     core = vectors.join(many, "same", "left_anti").unionByName(first.drop("n"))

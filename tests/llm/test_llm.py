@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,6 +141,21 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.most_similar(df.limit(0), "id", "v").count() == 0
 
 
+def test_neighbours_of_many_lists(spark):
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(24_000, 12)) @ rng.normal(size=(12, 64)) + 0.3 * rng.normal(size=(24_000, 64))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"id": [str(i) for i in range(len(x))], "v": list(x)}))
+    got = {}
+    for r in neighbours.most_similar(df, "id", "v").collect():
+        got.setdefault(int(r["key"]), set()).add(int(r["neighbour"]))
+    asked = np.arange(0, len(x), 40)
+    u = neighbours.unit(x)
+    sims = u[asked] @ u.T
+    sims[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-sims, axis=1)[:, :5]
+    assert np.mean([t in got[q] for q, ts in zip(asked.tolist(), true.tolist()) for t in ts]) >= 0.9
+
+
 # 6 -------------------------------------------------------------------------------------------
 
 
