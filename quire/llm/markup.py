@@ -199,6 +199,8 @@ def clean_markup(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
 # ---------------------------------------------------------------- boilerplate of a host
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Lines between the pages of a document, and the sign they are replaced by while it is cleaned.
+_PAGE, _BREAK = r"(?m)^<!-- page \d+ -->[ \t]*$", "\ue000"
 
 
 def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -328,8 +330,30 @@ def clean_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_boilerplate(clean_markup(read(spark, sf_dir, "chunks"), "chunk_id", "raw_content", "document_id"))
 
 
+def clean_pages(df: DataFrame, key: str, text: str, host: str, version: str, run: int = RUN, host_rows: int = HOST_ROWS) -> DataFrame:
+    """id, host, text, marks and boilerplate_chars of whole documents, free of what stands on several pages of their host.
+
+    Pages are what the ``<!-- page N -->`` lines divide; they are cleaned together, so that
+    code may run over several, freed by ``without_boilerplate`` and joined again. A document
+    under one key and host is one, with the text of the greatest ``version``; rows without
+    a key are told apart by their text. The page lines count as html in ``marks``.
+    """
+    key_of = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    rows = df.select(key_of.alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("t"), F.col(version).alias("at"))
+    rows = rows.groupBy("id", "host").agg(F.max_by("t", F.struct("at", "t")).alias("t")).withColumn("t", F.regexp_replace("t", _PAGE, _BREAK))
+    whole = clean_markup(rows, "id", "t", "host").withColumn("marks", F.when(F.contains("text", F.lit(_BREAK)), F.col("marks").bitwiseOR(F.lit(1 << FAMILIES.index("html")))).otherwise(F.col("marks")))
+    pages = whole.select("host", "marks", "id", F.posexplode(F.split("text", _BREAK)).alias("n", "text"))
+    freed = without_boilerplate(pages.select(F.concat_ws("\1", "id", F.col("n").cast("string")).alias("id"), "host", "text", "marks"), run, host_rows)
+    part = F.split("id", "\1")
+    freed = freed.select(part[0].alias("id"), "host", part[1].cast("int").alias("n"), F.regexp_replace("text", r"^\n+|\n+$", "").alias("text"), "marks", "boilerplate_chars")
+    joined = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), lambda x: x != ""), "\n\n")
+    docs = freed.groupBy("id", "host").agg(joined.alias("text"), F.max("marks").alias("marks"), F.sum("boilerplate_chars").cast("int").alias("boilerplate_chars"))
+    return docs.select(F.when(~F.col("id").startswith("\0"), F.col("id")).alias("id"), F.nullif("host", F.lit("")).alias("host"), "text", "marks", "boilerplate_chars")
+
+
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_markup(read(spark, sf_dir, "process_results"), "document_id", "markdown", "source")
+    """Clean documents, free of what stands on several pages of their source."""
+    return clean_pages(read(spark, sf_dir, "process_results"), "document_id", "markdown", "source", "ingested_at")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

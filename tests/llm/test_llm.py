@@ -51,6 +51,17 @@ def test_boilerplate_both_ways(spark):
     assert small["a"].split() == ["one", "two"] and small["c"].split()[0] == "five" and len(small["c"].split()) == 21
 
 
+def test_boilerplate_of_documents(spark, tmp_path):
+    shared, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
+    first = f"<!-- page 1 -->\n\none {shared}\n\n<!-- page 2 -->\n\n<b>two</b> {shared}\n"
+    rows = [("a", "s", first, 1), ("a", "s", first, 2), ("b", "s", f"<!-- page 1 -->\n\nthree {other}", 1), ("c", "s", f"four {other}", 1), ("d", "k", f"five {other}", 1), (None, None, "six", 1), (None, None, "seven", 1), ("e", "k", None, 1)]
+    spark.createDataFrame(rows, "document_id string, source string, markdown string, ingested_at int").write.parquet(f"{tmp_path}/process_results.parquet")
+    got = markup.clean_documents(spark, str(tmp_path)).collect()
+    texts = {r["id"]: r["text"].split() for r in got if r["id"]}
+    assert texts == {"a": ["one", "two"], "b": ["three"], "c": ["four"], "d": ["five", *other.split()], "e": []}
+    assert sorted(r["text"] for r in got if r["id"] is None) == ["seven", "six"]
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
