@@ -3,13 +3,15 @@
 A leak is a passage of PASSAGE consecutive words of a test item with at most ERRORS edited
 words. Each item is cut into pieces so short that any such passage holds ERRORS + 1 whole
 ones; edits can't reach them all, so one piece is found exactly (one automaton over all
-pieces). Around each hit, Myers' bit-parallel distance decides over the passages.
+pieces). Around each hit, Myers' bit-parallel distance decides over the passages, also where
+the passage is exact (distance 0); the length of the exact run is measured after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
@@ -98,39 +100,38 @@ def match(doc: list[str], joined: str, m: Matcher, passage: int = PASSAGE, error
             if (k, at - i, first) in done:
                 continue
             done.add((k, at - i, first))
-            if run >= passage:
-                edits = 0
-            elif errors and not (k in found and found[k][2] == 0):
-                # one edited word splits a passage into two runs; this one is the longer or holds the whole piece.
-                # only passages through the run's end or start can be longer than the run itself
-                lo, hi = max(0, first + run - passage - 1), min(len(item), first + passage + 1)
-                around = doc[max(0, at - (i - lo) - errors) : at + (hi - i) + errors]
-                near = set(item[lo:hi])
-                if sum(w in near for w in around) < passage - errors:  # each edit spends one word at most
-                    continue
-                edits = min((myers(item[s : s + passage], around) for s in range(max(0, i + m.piece - passage), min(i, len(item) - passage) + 1)), default=passage)
-                if edits > errors:
-                    continue
-            else:
+            # one edited word splits a passage into two runs; this one is the longer or holds the whole piece.
+            # only passages through the run's end or start can be longer than the run itself
+            lo, hi = max(0, min(first + run - passage - 1, i + m.piece - passage)), min(len(item), max(first + passage + 1, i + passage))
+            around = doc[max(0, at - (i - lo) - errors) : at + (hi - i) + errors]
+            near = set(item[lo:hi])
+            if sum(w in near for w in around) < passage - errors:  # each edit spends one word at most
+                continue
+            edits = passage
+            for start in range(max(0, i + m.piece - passage), min(i, len(item) - passage) + 1):
+                edits = min(edits, myers(item[start : start + passage], around))
+                if not edits:
+                    break
+            if edits > errors:
                 continue
             old = found.get(k, (0, 0, passage))
             found[k] = (*max((run, -first), (old[0], -old[1])), min(edits, old[2]))
     return {k: (run, -first, e) for k, (run, first, e) in found.items()}
 
 
-_MATCHERS: dict[int, Matcher] = {}
+_MATCHERS: dict[str, Matcher] = {}
 
 
 def _matcher(shared, passage: int, errors: int) -> Matcher:
-    """One automaton a worker process."""
-    if shared.id not in _MATCHERS:
+    """One automaton a worker process, under the name its items got when they were sent."""
+    if shared.name not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[shared.id] = build(shared.items.value, passage, errors)
-    return _MATCHERS[shared.id]
+        _MATCHERS[shared.name] = build(shared.items.value, passage, errors)
+    return _MATCHERS[shared.name]
 
 
 class _Shared(NamedTuple):
-    id: int
+    name: str
     items: object
 
 
@@ -158,7 +159,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         rows = part.toArrow()
         item_arrow = rows.schema.field(0).type
         value = spark.sparkContext.broadcast(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
-        part = source.mapInArrow(_matches(_Shared(id(value) ^ hash(str(rows.schema)) ^ b, value), passage, errors, item_arrow), schema)
+        part = source.mapInArrow(_matches(_Shared(uuid4().hex, value), passage, errors, item_arrow), schema)
         out = part if out is None else out.unionByName(part)
     out = out.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max(F.struct("longest_run", -F.col("run_start"))).alias("r"), F.min("edits").alias("edits"))
     run = F.col("r.longest_run")
@@ -190,8 +191,8 @@ def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact cases among the matches: runs of twelve words without an edit."""
-    return leaked(spark, sf_dir).filter(F.col("longest_run") >= PASSAGE).select("doc_id", "item_id")
+    """The matches at distance 0: passages of twelve words without an edit, whose exact run is checked."""
+    return leaked(spark, sf_dir).filter((F.col("edits") == 0) & (F.col("longest_run") >= PASSAGE)).select("doc_id", "item_id")
 
 
 QUERIES = {"p8_found": found, "p8_leaks": leaked}

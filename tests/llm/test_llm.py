@@ -264,6 +264,28 @@ def test_leaks(spark):
     assert leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_leaks_of_other_items_in_one_session(spark):
+    for n in range(6):
+        item = [f"w{n}x{i}" for i in range(14)]
+        docs = spark.createDataFrame([(n, " ".join(item))], "doc_id long, text string")
+        assert leaks.leaks(docs, spark.createDataFrame([(n, " ".join(item))], "item_id long, item_text string")).count() == 1
+
+
+def test_edited_leaks_against_brute_force(spark):
+    rng = random.Random(8)
+    items = [[f"{rng.choice('abcdef')}{rng.randrange(400)}" for _ in range(30)] for _ in range(20)]
+    docs = []
+    for n in range(200):
+        part = rng.choice(items)[(s := rng.randrange(18)) : s + 12]
+        for _ in range(n % 3):
+            at = rng.randrange(len(part))
+            part = [part[:at] + part[at + 1 :], part[:at] + ["new"] + part[at:], part[:at] + ["new"] + part[at + 1 :]][rng.randrange(3)]
+        docs.append((n, " ".join(["x", "y", *part, "z"])))
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, item_text string")).collect()}
+    want = {(n, k): e for n, t in docs for k, i in enumerate(items) if (e := min(leaks.myers(i[s : s + 12], t.split()) for s in range(19))) <= 1}
+    assert got == want and set(want.values()) == {0, 1}
+
+
 # 9 -------------------------------------------------------------------------------------------
 
 
