@@ -21,8 +21,11 @@ from .common import cut, mix64, offsets, read, strings, words
 
 #: Trees, levels and branches of a level; records of a node that are compared exhaustively at most.
 TREES, LEVELS, BRANCHES, NODE = 6, 4, 2, 64
-#: Minwise functions; the first TREES * LEVELS * BRANCHES choose paths, two bits of each make the sketch.
-FUNCTIONS = 64
+#: Minwise functions of a tree: two for the root, two for each of its two children, two for each of their four. A node of
+#: the last level takes those of the root's other child, which no node above it has used.
+TREE_FUNCTIONS = 14
+#: Minwise functions whose lowest bits make the sketch, and all of them.
+SKETCH, FUNCTIONS = 64, TREES * TREE_FUNCTIONS
 _ODD = mix64(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _WORD_MULTIPLIERS = mix64(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)
 
@@ -50,7 +53,15 @@ def _runs(hashes: np.ndarray, run: int) -> np.ndarray:
 def most_unequal(similarity: float) -> int:
     """Unequal two-bit values of a sketch that a pair at this Jaccard similarity exceeds once in a thousand times."""
     p = (1 - similarity) * 0.75
-    return int(np.ceil(FUNCTIONS * p + 3.1 * np.sqrt(FUNCTIONS * p * (1 - p))))
+    return int(np.ceil(SKETCH * p + 3.1 * np.sqrt(SKETCH * p * (1 - p))))
+
+
+def tree_recall(similarity: float, levels: int = LEVELS) -> float:
+    """Chance that a pair still shares a node of one tree after so many levels: survival of a branching process."""
+    chance = 1.0
+    for _ in range(levels):
+        chance = 1 - (1 - similarity * chance) ** BRANCHES
+    return chance
 
 
 def jaccard(dice: float) -> float:
@@ -79,10 +90,12 @@ def _records(run: int, least_words: int):
                 least = np.empty((FUNCTIONS, len(tokens)), np.uint32)
                 for f in range(FUNCTIONS):
                     least[f] = np.minimum.reduceat((grams * _ODD[f]) >> np.uint64(32), starts)
-                low = mix64(least.astype(np.uint64)) & np.uint64(3)
-                shift = np.arange(FUNCTIONS, dtype=np.uint64)[:, None]
+                mixed = mix64(least.astype(np.uint64))
+                low = mixed[:SKETCH] & np.uint64(3)
+                shift = np.arange(SKETCH, dtype=np.uint64)[:, None]
                 sketch = [np.bitwise_or.reduce(((low >> np.uint64(x)) & np.uint64(1)) << shift, axis=0).view(np.int64) for x in (0, 1)]
-                paths = least[: TREES * LEVELS * BRANCHES].T.copy().view(np.int32)
+                # sixteen bits tell the branches of a node apart; two tokens that agree in them only add a candidate
+                paths = (mixed >> np.uint64(40)).astype(np.uint16).T.copy().view(np.int16)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, paths.size + 1, paths.shape[1]), pa.int32()), pa.array(paths.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(list(tokens))), pa.array(copy.view(np.int64)), *map(pa.array, sketch), flat], ["id", "copy", "s0", "s1", "paths"]
@@ -94,13 +107,13 @@ def _records(run: int, least_words: int):
 def records(df: DataFrame, key: str, text: str, run: int, least_words: int) -> DataFrame:
     """id, copy (hash of the whole sequence of words), sketch and minwise tokens of every text of enough words."""
     cols = df.select(F.col(key).cast("string").alias("id"), F.col(text)).filter("id IS NOT NULL")
-    return cols.mapInArrow(_records(run, least_words), "id string, copy long, s0 long, s1 long, paths array<int>")
+    return cols.mapInArrow(_records(run, least_words), "id string, copy long, s0 long, s1 long, paths array<short>")
 
 
-def _nodes(limit: int, last: bool):
+def _nodes(limit: int, most: int):
     """Streams rows sorted by node. Of small nodes the pairs with like sketches, of larger ones the rows.
 
-    No node is held whole: a node's rows go on as soon as there are more than NODE of them.
+    No node is held whole: a node's rows go on as soon as there are more than ``most`` of them.
     """
 
     def emit(k: np.ndarray, rows: list[np.ndarray], large: set | None) -> Iterator[pa.RecordBatch]:
@@ -108,10 +121,10 @@ def _nodes(limit: int, last: bool):
         size = np.diff(np.r_[start, len(k)])
         each = np.repeat(size, size)
         if large:
-            each[np.isin(k, np.fromiter(large, np.int64, len(large)))] = NODE + 1
-        small = each <= NODE
+            each[np.isin(k, np.fromiter(large, np.int64, len(large)))] = most + 1
+        small = each <= most
         a_all, b_all = [], []
-        for d in range(1, NODE):
+        for d in range(1, most):
             i = np.flatnonzero((k[:-d] == k[d:]) & small[:-d])
             if not len(i):
                 break
@@ -124,7 +137,7 @@ def _nodes(limit: int, last: bool):
         a, b = a[ok], b[ok]
         none = pa.nulls(len(a), pa.int64())
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none, pa.nulls(len(a), pa.list_(pa.int32()))], _NODE_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none, pa.nulls(len(a), pa.list_(pa.int16()))], _NODE_NAMES)
         at = np.flatnonzero(~small)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(rows[0][at]), pa.nulls(len(at), pa.int64()), pa.array(k[at]), pa.array(rows[1][at]), pa.array(rows[2][at]), rows[3].take(pa.array(at))], _NODE_NAMES)
@@ -140,7 +153,7 @@ def _nodes(limit: int, last: bool):
             if not len(k):
                 continue
             tail = int(np.searchsorted(k, k[-1]))  # the last node may go on in the next batch
-            if len(k) - tail > NODE:
+            if len(k) - tail > most:
                 upto, held = len(k), None
                 large_next = {int(k[-1])}
             elif int(k[-1]) in large:
@@ -162,18 +175,23 @@ def _nodes(limit: int, last: bool):
 _NODE_NAMES = ["rec", "other", "node", "s0", "s1", "rest"]
 
 
-def candidates(reps: DataFrame, similarity: float) -> DataFrame:
+def candidates(reps: DataFrame, similarity: float, node: int = NODE) -> DataFrame:
     """Pairs (a, b), a < b, of records that meet in a small node and have like sketches."""
     limit = most_unequal(similarity)
-    step = LEVELS * BRANCHES
-    tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.slice("paths", t * step + 1, step).alias("rest"))))
+    tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.slice("paths", t * TREE_FUNCTIONS + 1, TREE_FUNCTIONS).alias("rest"))))
     rows = reps.select(F.col("copy").alias("rec"), "s0", "s1", tree.alias("x")).select("rec", "s0", "s1", F.col("x.t").cast("long").alias("at"), F.col("x.rest").alias("rest"))
+    # what a child keeps of its parent's functions, by child: its own two, those of its children, then those of the other side
+    keep = [
+        lambda j: F.concat(F.slice("rest", 1 + 2 * j, 2), F.slice("rest", 3 + 4 * j, 4), F.slice("rest", 5 - 2 * j, 2)),
+        lambda j: F.concat(F.slice("rest", 1 + 2 * j, 2), F.slice("rest", 7, 2)),
+        lambda j: F.slice("rest", 3, 2),
+        lambda j: F.array().cast("array<short>"),
+    ]
     pairs = None
     for level in range(LEVELS):
-        branch = F.explode(F.transform(F.sequence(F.lit(1), F.lit(BRANCHES)), lambda j: F.xxhash64("at", j, F.element_at("rest", j))))
-        rest = F.slice("rest", BRANCHES + 1, step) if level < LEVELS - 1 else F.array().cast("array<int>")
-        rows = rows.select("rec", "s0", "s1", branch.alias("node"), rest.alias("rest"))
-        done = cut(rows.repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(limit, level == LEVELS - 1), "rec long, other long, node long, s0 long, s1 long, rest array<int>"))
+        branch = F.explode(F.array(*(F.struct(F.xxhash64("at", F.lit(j), F.element_at("rest", j)).alias("node"), keep[level](j).alias("rest")) for j in range(1, BRANCHES + 1))))
+        rows = rows.select("rec", "s0", "s1", branch.alias("x")).select("rec", "s0", "s1", "x.node", "x.rest")
+        done = cut(rows.repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(limit, node), "rec long, other long, node long, s0 long, s1 long, rest array<short>"))
         found = done.filter("other IS NOT NULL").select(F.col("rec").alias("a"), F.col("other").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
         rows = done.filter("node IS NOT NULL").select("rec", "s0", "s1", F.col("node").alias("at"), "rest")
@@ -211,18 +229,19 @@ def _dice(least: float):
     return go
 
 
-def similar(df: DataFrame, key: str, text: str, dice: float, run: int = 3, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, key: str, text: str, dice: float, run: int = 3, least_words: int = 20, node: int = NODE) -> tuple[DataFrame, DataFrame]:
     """(links, members): verified pairs of different texts, and the rows behind each text.
 
     links: a, b (text numbers, a < b) and dice, the Dice similarity of the sets of word runs,
     at least ``dice``. members: id, copy (text number), rep (the smallest id of the text).
     Texts with fewer words than ``least_words`` (null and empty ones too) and null ids have
     no rows. A repeated id with the same text counts once; texts that differ only in case,
-    punctuation or spacing are copies. Copies are never expanded into pairs here.
+    punctuation or spacing are copies. Copies are never expanded into pairs here. ``node``
+    is the number of records that are compared exhaustively; it doesn't change what a pair is.
     """
     run_records = cut(records(df, key, text, run, least_words))
     reps = run_records.groupBy("copy").agg(F.min("id").alias("rep"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("paths").alias("paths"))
-    pairs = cut(candidates(reps, jaccard(dice)))
+    pairs = cut(candidates(reps, jaccard(dice), node))
     wanted = pairs.select(F.col("a").alias("copy")).union(pairs.select(F.col("b").alias("copy"))).distinct().join(run_records.groupBy("copy").agg(F.min("id").alias("id")), "copy")
     texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).join(wanted.hint("shuffle_hash"), "id").select("copy", "t").dropDuplicates(["copy"])
     sets = cut(texts.mapInArrow(_sets(run), "copy long, runs binary"))
@@ -232,6 +251,18 @@ def similar(df: DataFrame, key: str, text: str, dice: float, run: int = 3, least
     return links, members
 
 
+#: Parts among which the texts of one label are divided.
+LABEL_PARTS = 64
+
+
+def _by_label(rows: DataFrame, labels: DataFrame, how: str) -> DataFrame:
+    """Joins rows (v, l) with labels (l, one row each). The label of a giant component is on very many rows, so these are
+    divided by v; a label goes only to the parts in which it occurs, which a partial aggregation finds."""
+    salted = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(LABEL_PARTS)))
+    there = salted.groupBy("l", "part").agg(F.lit(1).alias("one")).drop("one").join(labels, "l")
+    return salted.join(there, ["l", "part"], how).drop("part")
+
+
 def classes(links: DataFrame, members: DataFrame) -> DataFrame:
     """One row an id: class_id (smallest id of the connected texts), copy_of (smallest id of the same text), n_links.
 
@@ -246,24 +277,34 @@ def classes(links: DataFrame, members: DataFrame) -> DataFrame:
         around = edges.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("l").alias("m"))
         new = label.join(around, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = label.select(F.col("v").alias("l"), F.col("l").alias("far"))
-        new = cut(new.join(jump, "l", "left").select("v", "old", F.least("l", F.coalesce("far", "l")).alias("l")))
+        new = cut(_by_label(new, jump, "left").select("v", "old", F.least("l", F.coalesce("far", "l")).alias("l")))
         label = new.select("v", "l")
         if new.filter("l <> old").isEmpty():
             break
     degree = edges.groupBy("v").count().withColumnRenamed("count", "n")
     named = label.join(reps.select(F.col("copy").alias("v"), "rep"), "v")
     names = named.groupBy("l").agg(F.min("rep").alias("class_id"))
-    of_text = named.join(names, "l").join(degree, "v").select(F.col("v").alias("copy"), "class_id", "n")
+    of_text = _by_label(named, names, "inner").join(degree, "v").select(F.col("v").alias("copy"), "class_id", "n")
     return members.join(reps, "copy").join(of_text, "copy", "left").select("id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
-#: Copies of one text that p6_found lists in all pairs; of more, each is linked to the smallest.
+#: Copies of one text that p6_found lists in all pairs; of more, each is linked to the smallest, and p6_members, the
+#: membership of the same join, says which ids stand for one text.
 PAIRED_COPIES = 50
+LEAST_DICE = 0.70
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of chunk ids with Dice similarity of at least 0.70 over runs of three words."""
-    links, members = similar(read(spark, sf_dir, "chunks"), "chunk_id", "raw_content", 0.70)
+    """Pairs of chunk ids with Dice similarity of at least 0.70 over runs of three words.
+
+    Copies of one text are all paired up to PAIRED_COPIES ids. A text with more ids stands in
+    pairs with other texts, and with each of its own copies, by its smallest id alone; the
+    ids of p6_members with the same copy_of have the same pairs.
+    """
+    return pairs(*similar(read(spark, sf_dir, "chunks"), "chunk_id", "raw_content", LEAST_DICE))
+
+
+def pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     size = members.groupBy("copy").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n > 1")
     copied = members.join(size, "copy")
     few = copied.filter(F.col("n") <= PAIRED_COPIES)
@@ -275,11 +316,16 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return among.union(star).union(across).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The membership of p6_found's join, one row a chunk id: class_id, copy_of (smallest id of the same text), n_links."""
+    return classes(*similar(read(spark, sf_dir, "chunks"), "chunk_id", "raw_content", LEAST_DICE)).withColumnRenamed("id", "chunk_id")
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near copies at the general threshold: runs of five words, Jaccard similarity of 0.8 or more."""
     links, members = similar(read(spark, sf_dir, "chunks"), "chunk_id", "raw_content", 2 * 0.8 / 1.8, run=5)
     return classes(links, members).withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p6_found": found, "p6_groups": groups}
+QUERIES = {"p6_found": found, "p6_members": members, "p6_groups": groups}
 ORACLES: dict[str, str] = {}

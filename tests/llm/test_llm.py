@@ -206,6 +206,30 @@ def test_hot_node(spark):
     assert links.count() == 120 * 119 // 2
 
 
+def test_pairs_of_many_copies_are_in_the_membership(spark):
+    base = [f"w{i}" for i in range(40)]
+    texts = {"a": " ".join(base), "b": " ".join([*base[:20], "x", *base[21:]]), "c": " ".join(f"v{i}" for i in range(40))}
+    sizes = {"a": 60, "b": 55, "c": 3}
+    rows = [(f"{k}{i:02d}", t) for k, t in texts.items() for i in range(sizes[k])]
+    links, members = duplicates.similar(spark.createDataFrame(rows, "id string, t string"), "id", "t", 0.70)
+    got = {tuple(r) for r in duplicates.pairs(links, members).collect()}
+    of = {r["id"]: r["copy_of"] for r in duplicates.classes(links, members).collect()}
+    ids = [k for k, _ in rows]
+    whole = {(x, y) for x in ids for y in ids if x < y and (of[x] == of[y] or tuple(sorted((of[x], of[y]))) in got)}
+    assert whole == {(x, y) for x in ids for y in ids if x < y and (x[0] == y[0] or "c" not in (x[0], y[0]))} and got <= whole
+
+
+def test_recall_at_full_depth(spark):
+    rows = []
+    for i in range(400):
+        ws = [f"t{i}w{j}" for j in range(200)]
+        rows += [(f"a{i:03d}", " ".join(ws), 0), (f"b{i:03d}", " ".join("new" if j % 10 == 5 and j < 190 else w for j, w in enumerate(ws)), 0)]
+    # no node is small enough to be compared before the last level, and the pairs lie just above the threshold
+    links, _ = duplicates.similar(spark.createDataFrame(rows, "id string, t string, node int"), "id", "t", 0.70, node=1)
+    assert 1 - (1 - duplicates.tree_recall(duplicates.jaccard(0.7))) ** duplicates.TREES > 0.989
+    assert links.count() >= 0.975 * 400
+
+
 def test_bit_counts_and_sketch_bound():
     assert duplicates.most_unequal(1.0) == 0 and duplicates.most_unequal(0.2) > duplicates.most_unequal(0.8)
 
