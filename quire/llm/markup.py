@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, offsets, read, strings
 
 FAMILIES = ("html", "wiki", "latex", "markdown")
-#: Tokens of the shortest boilerplate run; rows of a host that one task takes; rows of a group of hosts.
-RUN, HOST_ROWS, GROUP_ROWS = 16, 20_000, 5_000
+#: Tokens of the shortest boilerplate run; characters of a host, and of a group of hosts, that one task takes.
+RUN, HOST_CHARS, GROUP_CHARS = 16, 6_000_000, 3_000_000
 
 # HTML elements.
 TAGS = "a abbr acronym address article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark math menu meta nav nobr noscript nowiki object ol option p param pre q ref references s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
@@ -254,74 +254,119 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join([*parts, text[last:]])).strip() if spans else text
 
 
+_ROW = "id string, host string, text string, marks int, boilerplate_chars int"
+_ROW_NAMES = ["id", "host", "text", "marks", "boilerplate_chars"]
+
+
 def _host_groups(run: int):
     def go(table: pa.Table) -> pa.Table:
         texts = [t or "" for t in table.column("text").to_pylist()]
         hosts = pd.factorize(np.array(table.column("host").to_pylist(), object))[0]
-        pages = pd.factorize(np.array(table.column("id").to_pylist(), object))[0]
+        pages = pd.factorize(np.array([x or "" for x in table.column("id").to_pylist()], object))[0]
         spans = covered(hosts, pages, texts, run)
-        return pa.table([table.column("id"), table.column("host"), pa.array([without(t, s) for t, s in zip(texts, spans)], pa.string()), table.column("marks"), pa.array([sum(b - a for a, b in s) for s in spans], pa.int32())], ["id", "host", "text", "marks", "boilerplate_chars"])
+        return pa.table([table.column("id"), table.column("host"), pa.array([without(t, s) for t, s in zip(texts, spans)], pa.string()), table.column("marks"), pa.array([sum(b - a for a, b in s) for s in spans], pa.int32())], _ROW_NAMES)
 
     return go
 
 
-def _windows(run: int):
+def _gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` tokens that begin at each place."""
+    n = max(0, len(h) - size + 1)
+    x = np.zeros(n, np.uint64)
+    for j, m in enumerate(mix64(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)):
+        x += h[j : j + n] * m
+    return mix64(x)
+
+
+def chosen(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least gram of every ``window`` consecutive ones (winnowing): equal stretches choose equal grams."""
+    if len(grams) < window:
+        return np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(grams, window)
+    return np.unique(np.arange(len(view)) + view.argmin(axis=1))
+
+
+def _token_hashes(text: str) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in _TOKEN.findall(text)], np.uint64)
+
+
+_PLACE_NAMES = ["hash", "page", "row", "place"]
+_PLACE = "hash long, page long, row long, place int"
+
+
+def _places(run: int, exact: bool):
+    """Of rows (row, id, host, text[, marked places]): the chosen grams, or the runs of ``run`` tokens that hold a marked gram."""
+    half = max(1, run // 2)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul = mix64(np.arange(1, run + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            for i, (host, text) in enumerate(zip(strings(batch, 1), strings(batch, 2))):
-                h = np.array([xxhash.xxh3_64_intdigest(t) for t in _TOKEN.findall(text)], np.uint64)
-                n = len(h) - run + 1
-                if n < 1:
-                    continue
-                x = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
-                for j in range(run):
-                    x += h[j : j + n] * mul[j]
-                yield pa.RecordBatch.from_arrays([pa.array(mix64(x).view(np.int64)), pa.array([batch.column(0)[i].as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int32())], ["run", "id", "place"])
+            rows, marked = batch.column(0).to_pylist(), batch.column(4).to_pylist() if exact else None
+            for i, (page, host, text) in enumerate(zip(strings(batch, 1), strings(batch, 2), strings(batch, 3))):
+                h = _token_hashes(text)
+                grams = _gram_hashes(h, run if exact else half)
+                if exact:
+                    at = np.unique((np.array(marked[i], np.int64)[:, None] - np.arange(run - half + 1)).ravel())
+                    at = at[(at >= 0) & (at < len(grams))]
+                else:
+                    at = chosen(grams, run - half + 1)
+                if len(at):
+                    x = mix64(grams[at] ^ np.uint64(xxhash.xxh3_64_intdigest(host)))
+                    page_hash = xxhash.xxh3_64_intdigest(page) - (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(at), page_hash)), pa.array(np.full(len(at), rows[i])), pa.array(at.astype(np.int32))], _PLACE_NAMES)
 
     return go
 
 
+def _on_several_pages(places: DataFrame) -> DataFrame:
+    """row and its places whose hash stands on two or more pages."""
+    several = places.groupBy("hash").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a <> b").select("hash")
+    return places.join(several, "hash", "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))
+
+
 def _drop_places(run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, chars = [], []
             for t, places in zip(strings(batch, 2), batch.column(4).to_pylist()):
-                spans, toks = [], [m.span() for m in _TOKEN.finditer(t)]
+                spans, toks = [], [m.span() for m in _TOKEN.finditer(t)] if places else []
+                last = -1
                 for p in sorted(places or []):
                     a, b = toks[p][0], toks[p + run - 1][1]
-                    if spans and a <= spans[-1][1] + 1:
+                    if spans and p <= last:  # the runs meet, without a token between
                         spans[-1] = (spans[-1][0], b)
                     else:
                         spans.append((a, b))
+                    last = p + run
                 texts.append(without(t, spans))
                 chars.append(sum(b - a for a, b in spans))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), batch.column(3), pa.array(chars, pa.int32())], ["id", "host", "text", "marks", "boilerplate_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), batch.column(3), pa.array(chars, pa.int32())], _ROW_NAMES)
 
     return go
 
 
-def without_boilerplate(cleaned: DataFrame, run: int = RUN, host_rows: int = HOST_ROWS) -> DataFrame:
+def without_boilerplate(cleaned: DataFrame, run: int = RUN, host_chars: int = HOST_CHARS) -> DataFrame:
     """The cleaned rows with text freed of boilerplate, and boilerplate_chars.
 
     Runs of ``run`` tokens that stand on two or more distinct pages (ids) of a host are
-    removed wherever they stand in it. Pages repeated under one id are one page. A null
-    host is a host of its own. Hosts of up to ``host_rows`` rows are handled in a task each
-    (several small ones together); larger ones are divided by the runs themselves, so that
-    no task holds such a host, with the same result.
+    removed wherever they stand in it. Pages repeated under one id are one page, also with
+    different texts, each of which has its row. A null id is one page, a null host a host of
+    its own (it comes back as the empty host). Hosts of up to ``host_chars`` characters are handled in a task each
+    (several small ones together), by suffix ranks. Larger ones are divided by the runs
+    themselves, so that no task holds such a host, with the same result: a run of ``run``
+    tokens holds a chosen gram of half its length, only grams chosen on several pages are
+    looked at again, and of these places the whole runs are compared.
     """
-    schema = "id string, host string, text string, marks int, boilerplate_chars int"
-    rows = cut(cleaned.dropDuplicates(["id", "host", "text"]))
-    named = rows.withColumn("host", F.coalesce("host", F.lit("")))
-    hot = named.groupBy("host").count().filter(F.col("count") > host_rows).select("host")
-    groups = max(1, -(-rows.count() // GROUP_ROWS))
-    small = named.join(hot, "host", "left_anti").select("id", "host", "text", "marks").withColumn("g", F.pmod(F.xxhash64("host"), F.lit(groups)))
-    done = small.groupBy("g").applyInArrow(lambda t: _host_groups(run)(t), schema)
-    large = named.join(hot, "host", "left_semi").select("id", "host", "text", "marks")
-    windows = large.mapInArrow(_windows(run), "run long, id string, place int")
-    twice = windows.groupBy("run").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("run")
-    places = windows.join(twice, "run").groupBy("id").agg(F.collect_set("place").alias("places"))
-    freed = large.join(places, "id", "left").select("id", "host", "text", "marks", "places").mapInArrow(_drop_places(run), schema)
+    rows = cleaned.dropDuplicates(["id", "host", "text"]).select("id", F.coalesce("host", F.lit("")).alias("host"), "text", "marks")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("host").agg(F.sum(F.length("text")).alias("n"))
+    hot = sizes.filter(F.col("n") > host_chars).select("host")
+    groups = max(1, -(-int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // GROUP_CHARS))
+    small = rows.join(hot, "host", "left_anti").select("id", "host", "text", "marks").withColumn("g", F.pmod(F.xxhash64("host"), F.lit(groups)))
+    done = small.groupBy("g").applyInArrow(lambda t: _host_groups(run)(t), _ROW)
+    large = rows.join(hot, "host", "left_semi").select("row", "id", "host", "text", "marks")
+    marked = _on_several_pages(large.select("row", "id", "host", "text").mapInArrow(_places(run, False), _PLACE))
+    exact = large.select("row", "id", "host", "text").join(marked, "row").mapInArrow(_places(run, True), _PLACE)
+    freed = large.join(_on_several_pages(exact), "row", "left").select("id", "host", "text", "marks", "places").mapInArrow(_drop_places(run), _ROW)
     return done.unionByName(freed)
 
 
@@ -330,7 +375,7 @@ def clean_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_boilerplate(clean_markup(read(spark, sf_dir, "chunks"), "chunk_id", "raw_content", "document_id"))
 
 
-def clean_pages(df: DataFrame, key: str, text: str, host: str, version: str, run: int = RUN, host_rows: int = HOST_ROWS) -> DataFrame:
+def clean_pages(df: DataFrame, key: str, text: str, host: str, version: str, run: int = RUN, host_chars: int = HOST_CHARS) -> DataFrame:
     """id, host, text, marks and boilerplate_chars of whole documents, free of what stands on several pages of their host.
 
     Pages are what the ``<!-- page N -->`` lines divide; they are cleaned together, so that
@@ -343,7 +388,7 @@ def clean_pages(df: DataFrame, key: str, text: str, host: str, version: str, run
     rows = rows.groupBy("id", "host").agg(F.max_by("t", F.struct("at", "t")).alias("t")).withColumn("t", F.regexp_replace("t", _PAGE, _BREAK))
     whole = clean_markup(rows, "id", "t", "host").withColumn("marks", F.when(F.contains("text", F.lit(_BREAK)), F.col("marks").bitwiseOR(F.lit(1 << FAMILIES.index("html")))).otherwise(F.col("marks")))
     pages = whole.select("host", "marks", "id", F.posexplode(F.split("text", _BREAK)).alias("n", "text"))
-    freed = without_boilerplate(pages.select(F.concat_ws("\1", "id", F.col("n").cast("string")).alias("id"), "host", "text", "marks"), run, host_rows)
+    freed = without_boilerplate(pages.select(F.concat_ws("\1", "id", F.col("n").cast("string")).alias("id"), "host", "text", "marks"), run, host_chars)
     part = F.split("id", "\1")
     freed = freed.select(part[0].alias("id"), "host", part[1].cast("int").alias("n"), F.regexp_replace("text", r"^\n+|\n+$", "").alias("text"), "marks", "boilerplate_chars")
     joined = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), lambda x: x != ""), "\n\n")

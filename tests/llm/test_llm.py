@@ -46,11 +46,32 @@ def test_boilerplate_both_ways(spark):
     df = spark.createDataFrame(rows, "id string, host string, t string, marks int")
     clean = markup.clean_markup(df, "id", "t", "host")
     small = {r["id"]: r["text"] for r in markup.without_boilerplate(clean).collect()}
-    hot = {r["id"]: r["text"] for r in markup.without_boilerplate(clean, host_rows=1).collect()}
+    hot = {r["id"]: r["text"] for r in markup.without_boilerplate(clean, host_chars=1).collect()}
     assert small == hot
     assert small["a"].split() == ["one", "two"] and small["c"].split()[0] == "five" and len(small["c"].split()) == 21
 
 
+def test_boilerplate_of_large_hosts_equals_that_of_small_ones(spark):
+    rng = random.Random(11)
+    parts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "one", "two"], k=rng.randrange(3, 30))) for _ in range(12)]
+    rows = [(f"p{rng.randrange(40)}", f"h{rng.randrange(2)}", ". ".join(rng.choices(parts, k=rng.randrange(4))), n) for n in range(120)]
+    rows += [("p1", "h0", parts[0] + " x", 0), ("p1", "h0", parts[0] + " y", 0), (None, "h0", parts[1], 0), (None, None, parts[1], 0)]
+    df = spark.createDataFrame(rows, "id string, host string, text string, marks int").dropDuplicates(["id", "host", "text"])
+    small, hot = (sorted(map(str, markup.without_boilerplate(df, run=16, host_chars=n).collect())) for n in (markup.HOST_CHARS, 0))
+    assert small == hot and any(r["boilerplate_chars"] for r in markup.without_boilerplate(df).collect())
+    distinct = {(r[0] or "", r[1] or "", r[2]) for r in rows}
+    pages, want = {}, []
+    for p, h, t in distinct:
+        toks = markup._TOKEN.findall(t)
+        for k in range(len(toks) - 15):
+            pages.setdefault((h, *toks[k : k + 16]), set()).add(p)
+    for _, h, t in distinct:
+        toks = list(markup._TOKEN.finditer(t))
+        gone = {q for k in range(len(toks) - 15) if len(pages[(h, *(m.group() for m in toks[k : k + 16]))]) > 1 for q in range(k, k + 16)}
+        want.append(sum(toks[q].end() - (toks[q - 1].end() if q - 1 in gone else toks[q].start()) for q in gone))
+    assert sorted(want) == sorted(r["boilerplate_chars"] for r in markup.without_boilerplate(df).collect())
+
+
 def test_boilerplate_of_documents(spark, tmp_path):
     shared, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
     first = f"<!-- page 1 -->\n\none {shared}\n\n<!-- page 2 -->\n\n<b>two</b> {shared}\n"
