@@ -1,9 +1,10 @@
 """Problem 4: languages of documents and of segments in another language, by nearest centroids.
 
 Sentences are vectors of hashed letter trigrams weighted by TF-IDF, of length 1. Each
-language has several centroids, clustered on a bounded sample of labelled chunks; a sentence
-gets the language of the centroid with the greatest cosine, unless that is further away than
-the centroid's own sample was (distance-based rejection).
+language has several centroids, clustered on a bounded sample of sentences of labelled
+documents; a sentence gets the language of the centroid with the greatest cosine, unless that
+is further away than nearly all of the centroid's own sample was (distance-based rejection).
+A rejected sentence has no language, here and wherever else the model is used.
 """
 
 from __future__ import annotations
@@ -13,22 +14,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LANGS, cut, read, strings
 
-#: Labelled chunks on which the centroids are fitted, at most about; drawn by a hash of the id, language by language.
-SAMPLE_DOCUMENTS, SAMPLE_CHUNKS = 100, 2000
-#: Units of those chunks that are used, evenly drawn; bounds the driver's memory (4 bytes a feature each).
-SAMPLE_UNITS = 10_000
+#: Bounds of the sample the centroids are fitted on: documents a language, and whole sentences a language out of all texts
+#: of these documents; both drawn by a hash.
+SAMPLE_DOCUMENTS, SAMPLE_UNITS = 150, 2000
 FEATURES, CENTROIDS, ROUNDS = 1024, 3, 6
-#: Words from which a unit is classified by itself; sentences in a row that make a segment; share of the sample that rejection may lose.
-LEAST_WORDS, LEAST_SENTENCES, REJECTED = 4, 2, 0.002
+#: Words from which a unit is classified by itself; sentences in a row that make a segment.
+LEAST_WORDS, LEAST_SENTENCES = 4, 2
+#: A centroid rejects what has less than WIDENED of the cosine that all but this share of its own sample reach; it is
+#: widened as questions and answers lie farther away than the statements of the sample.
+REJECTED, WIDENED = 0.0005, 0.8
 #: Sample units under which a language is not learnt.
 LEAST_UNITS = 20
-#: Weight of a word in a unit that no centroid accepts, when the main language is counted.
-UNSURE = 1e-4
 
 # Names and codes of the languages, after lower case and without region.
 NAMES = {
@@ -42,7 +43,8 @@ NAMES = {
 _CODE = re.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)|`[^`\n]+`|\$\$.*?\$\$|<!--.*?-->|<[^<>\n]{1,200}>|!?\[[^\]\n]*\]\([^)\n]*\)", re.M | re.S)
 #: Ends of units: the end of a sentence, a blank line, or a line before a list item, table row, heading or quotation.
 _END = re.compile(r"[.!?]+[\"'”»)\]*_]*(?=\s|\Z)|\n(?=\s*\n|[ \t]*(?:[-*+|#>]|\d+[.)])|\|)")
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words without a digit; codes and encoded data, which mix both, are in no language.
+_LETTERS = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
 
 
 class Model(NamedTuple):
@@ -92,17 +94,10 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: list[tuple[str, str]], seed: int = 4) -> Model:
-    """The model from (language, text) pairs. Units nearest to another language than their label are left out before clustering."""
+    """The model from (language, letters of a unit) pairs. Units nearest to another language than their label are left out before clustering."""
     rng = np.random.default_rng(seed)
-    label, texts = [], []
-    for lang, text in labelled:
-        for _, _, n, whole, letters in units(text or ""):
-            if n >= LEAST_WORDS and whole:
-                label.append(LANGS.index(lang))
-                texts.append(letters)
-    if len(texts) > SAMPLE_UNITS:
-        take = np.linspace(0, len(texts) - 1, SAMPLE_UNITS).astype(int)
-        label, texts = [label[i] for i in take], [texts[i] for i in take]
+    labelled = sorted(labelled)
+    label, texts = [LANGS.index(lang) for lang, _ in labelled], [t for _, t in labelled]
     label_a = np.array(label, np.int64)
     counts = np.concatenate([features(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]) if texts else np.zeros((0, FEATURES), np.float32)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
@@ -130,12 +125,12 @@ def fit(labelled: list[tuple[str, str]], seed: int = 4) -> Model:
         for k in range(CENTROIDS):
             cents.append(c[k])
             langs.append(g)
-            least.append(np.quantile(s[a == k, k], REJECTED) if (a == k).any() else 2.0)
+            least.append(WIDENED * np.quantile(s[a == k, k], REJECTED) if (a == k).any() else 2.0)
     return Model(idf, np.stack(cents).astype(np.float32), np.array(langs), np.array(least))
 
 
-def classify(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(language number g, or -2 - g where its centroid rejects, confidence) of each text: the nearest centroid's, and how much nearer it is than any of another language."""
+def classify(texts: list[str], model: Model, reject: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(language number, or -1 where its centroid rejects; confidence) of each text: the nearest centroid's, and how much nearer it is than any of another language."""
     lang, conf = np.full(len(texts), -1), np.zeros(len(texts))
     by = [np.flatnonzero(model.langs == g) for g in range(len(LANGS))]
     for i in range(0, len(texts), 512):
@@ -144,8 +139,8 @@ def classify(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
         top = s[np.arange(len(s)), best]
         each = np.stack([s[:, k].max(axis=1) if len(k) else np.zeros(len(s)) for k in by], axis=1)
         other = np.partition(each, -2, axis=1)[:, -2]
-        ok = top >= model.least[best] * 0.9
-        lang[i : i + 512] = np.where(ok, model.langs[best], -2 - model.langs[best])
+        ok = top >= model.least[best] * reject
+        lang[i : i + 512] = np.where(ok, model.langs[best], -1)
         conf[i : i + 512] = np.clip((top - other) / np.maximum(top, 1e-9), 0, 1)
     return lang, conf
 
@@ -165,11 +160,18 @@ def _label(shared):
             lang, conf = np.full(len(flat), -1), np.zeros(len(flat))
             if take:
                 lang[take], conf[take] = classify([flat[i][4] for i in take], model)
+            # a short sentence joins a sentence beside it when both together, and the short one's nearest centroid, are of its language
+            row = np.repeat(np.arange(len(per)), [len(us) for us in per])
+            short = [(i, j) for i, u in enumerate(flat) if u[2] < LEAST_WORDS and u[3] for j in (i - 1, i + 1) if 0 <= j < len(flat) and row[i] == row[j] and lang[j] >= 0 and flat[j][3]]
+            joins: dict[int, int] = {}
+            if short:
+                alone, both = classify([flat[i][4] for i, _ in short], model, False)[0], classify([f"{flat[min(x)][4]} {flat[max(x)][4]}" for x in short], model)[0]
+                joins = {i: int(g) for (i, j), g, a in zip(short, both, alone) if g == a == lang[j]}
             word_rows, segment_rows, k = [], [], 0
             for us in per:
                 count, sure, runs = [0] * len(LANGS), [0.0] * len(LANGS), []
                 for start, end, n, whole, _ in us:
-                    g = int(lang[k])
+                    g = joins.get(k, int(lang[k]))
                     if g >= 0:
                         count[g] += n
                         sure[g] += n * conf[k]
@@ -179,8 +181,6 @@ def _label(shared):
                                 r[1], r[2], r[4], r[5] = r[1] + 1, r[2] + n, end, r[5] + n * conf[k]
                             else:
                                 runs.append([g, 1, n, start, end, n * conf[k]])
-                    elif g < -1:  # decides only where nothing else does
-                        count[-2 - g] += n * UNSURE
                     k += 1
                 word_rows.append([*map(float, count), *sure])
                 segment_rows.append([(LANGS[g], s, n, a, b, c / n) for g, s, n, a, b, c in runs if s >= LEAST_SENTENCES])
@@ -190,19 +190,39 @@ def _label(shared):
     return run
 
 
+def _sample_units(drawn: dict[str, str]):
+    def run(batches):
+        for batch in batches:
+            langs, texts, places = [], [], []
+            for document, text in zip(strings(batch, 0), strings(batch, 1)):
+                for at, _, n, whole, letters in units(text):
+                    if whole and n >= LEAST_WORDS:
+                        langs.append(drawn[document])
+                        texts.append(letters)
+                        places.append(f"{document} {at} {letters}")
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (langs, texts, places)], ["lang", "letters", "place"])
+
+    return run
+
+
+def _drawn(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """At most n rows a language, by a hash of a column; the limit is applied before rows are shuffled."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(by), by)
+    return rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).drop("k")
+
+
 def fit_on(labels: DataFrame, chunks: DataFrame, document: str, label: str, text: str) -> Model:
-    """Fits on the chunks of at most SAMPLE_DOCUMENTS documents a language, SAMPLE_CHUNKS chunks in all."""
-    named = labels.select(F.col(document).alias("document_id"), known_label(F.col(label)).alias("lang")).filter("lang IS NOT NULL AND document_id IS NOT NULL")
-    drawn: dict[str, str] = {}
-    for g in LANGS:
-        for r in named.filter(F.col("lang") == g).orderBy(F.xxhash64("document_id"), "document_id").limit(SAMPLE_DOCUMENTS).collect():
-            drawn[r["document_id"]] = r["lang"]
+    """Fits on at most SAMPLE_UNITS sentences a language, out of the whole texts of at most SAMPLE_DOCUMENTS documents a language.
+
+    The texts are cut into sentences by the executors; only the drawn sentences come to the driver.
+    """
+    named = labels.select(F.col(document).cast("string").alias("document_id"), known_label(F.col(label)).alias("lang")).filter("lang IS NOT NULL AND document_id IS NOT NULL")
+    drawn = {r["document_id"]: r["lang"] for r in _drawn(named.distinct(), "document_id", SAMPLE_DOCUMENTS).collect()}
     if not drawn:
         return fit([])
-    # the sample's texts are bounded too; classification reads whole texts
-    some = chunks.select(F.col(document).alias("document_id"), F.substring(F.col(text), 1, 4000).alias("t")).filter(F.col("document_id").isin(list(drawn)) & (F.length("t") > 200))
-    rows = some.orderBy(F.xxhash64("t"), "document_id").limit(SAMPLE_CHUNKS).collect()
-    return fit([(drawn[r["document_id"]], r["t"]) for r in rows])
+    theirs = chunks.select(F.col(document).cast("string").alias("document_id"), F.col(text).alias("t")).filter(F.col("document_id").isin(list(drawn)))
+    sentences = theirs.mapInArrow(_sample_units(drawn), "lang string, letters string, place string")
+    return fit([(r["lang"], r["letters"]) for r in _drawn(sentences, "place", SAMPLE_UNITS).collect()])
 
 
 def label_languages(labels: DataFrame, chunks: DataFrame, document: str = "document_id", label: str = "doc_language", key: str = "chunk_id", text: str = "raw_content") -> tuple[DataFrame, DataFrame]:
@@ -213,8 +233,8 @@ def label_languages(labels: DataFrame, chunks: DataFrame, document: str = "docum
     and status (``ok``, ``missing``, ``wrong``, or ``unknown`` where no text could be
     classified, in which case lang is null). segments: the runs of two or more sentences in
     another language than the document's main one, with place, size and confidence.
-    Sentences under four words, code, formulas and units that no centroid accepts hardly
-    count and don't break a run. Null and empty texts count nothing; repeated chunks with
+    Code, formulas and units that no centroid accepts count nothing and don't break a run;
+    neither do sentences under four words, unless they agree with one beside them. Null and empty texts count nothing; repeated chunks with
     the same text give one row; several labels of one document: the smallest counts. Ties
     of words go to the earlier of en, tr, de, fr, es. Other columns are not read.
     """

@@ -94,8 +94,6 @@ def _checks(shared):
             bare = [plain(r) for r in responses]
             q_letters, r_letters = ([" ".join(languages._LETTERS.findall(t)).lower() for t in ts] for ts in (questions, bare))
             (q_lang, _), (r_lang, r_conf) = languages.classify(q_letters, model), languages.classify(r_letters, model)
-            base = lambda g: np.where(g < -1, -2 - g, g)  # noqa: E731  a rejected text's nearest language
-            q_lang, r_lang = base(q_lang), base(r_lang)
             rows = []
             for i, (q, r) in enumerate(zip(questions, bare)):
                 qw, rw = WORD.findall(fold(q)), WORD.findall(fold(r))
@@ -126,28 +124,43 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64())], ["opening", "band"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (opening, template) within the bands, of rows sorted by band and opening.
+
+    An opening that is similar to no leader of its band becomes one; each opening is linked to
+    all similar leaders, also to those that came after it. So an opening with any similar
+    opening in a band has a link: if neither of the two leads, each follows a leader.
+    """
+    band, leaders, members = None, [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        pairs = [(o, name) for o, x in members for name, y in leaders if len(x & y) >= SIMILAR * len(x | y)]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*pairs)], ["opening", "template"])
+
     for batch in batches:
-        keep = []
-        for i, (a, b) in enumerate(zip(strings(batch, 0), strings(batch, 1))):
-            x, y = set(opening_shingles(a).tolist()), set(opening_shingles(b).tolist())
-            if len(x & y) >= SIMILAR * len(x | y):
-                keep.append(i)
-        yield batch.take(pa.array(keep, pa.int64()))
+        for opening, b in zip(strings(batch, 0), batch.column(1).to_pylist()):
+            if b != band:
+                yield from links()
+                band, leaders, members = b, [], []
+            x = frozenset(opening_shingles(opening).tolist())
+            if not any(len(x & y) >= SIMILAR * len(x | y) for _, y in leaders):
+                leaders.append((opening, x))
+            members.append((opening, x))
+    yield from links()
 
 
 def templates(unrelated: DataFrame) -> DataFrame:
     """Openings (with document_id) of responses that share nothing with their prompt -> the recurring ones.
 
-    Each opening is linked to the smallest opening of every band it falls in, if they are
-    similar enough; a template's documents are those of all openings linked to it. An opening
-    is linked to itself too, so that it recurs by itself.
+    Openings of a band are linked to the band's leaders they are similar to; a template's
+    documents are those of all openings linked to it. A leader is linked to itself too, so
+    that an opening recurs by itself.
     """
     per = unrelated.filter("opening <> ''").groupBy("opening", "document_id").agg(F.lit(1).alias("one"))
     openings = per.groupBy("opening").agg(F.count("*").alias("n"))
     banded = cut(openings.select("opening").mapInArrow(_bands, "opening string, band long"))
-    first = banded.groupBy("band").agg(F.min("opening").alias("template"))
-    linked = banded.join(first, "band").select("opening", "template").distinct().mapInArrow(_verify, "opening string, template string")
+    linked = banded.repartition("band").sortWithinPartitions("band", "opening").mapInArrow(_leaders, "opening string, template string").distinct()
     # documents are counted apart for each opening; a document with two openings of a template counts for both, so one
     # that recurs must have two openings or two documents, which is what repetition across prompts needs
     size = linked.join(openings, "opening").groupBy("template").agg(F.sum("n").alias("documents"))

@@ -96,7 +96,8 @@ def test_copy_and_termination():
 
 
 def test_defects(spark):
-    docs = spark.createDataFrame([(f"d{i}", (EN if i % 2 else DE) * 3) for i in range(40)] + [("n", None)], "document_id string, markdown string")
+    more = {0: DE.replace(". ", ", und ", 1), 1: EN.replace(". ", ", and ", 1) + "Which sensor records the pressure at every site? Which valve is it at the site? What limits the main pump at night? "}
+    docs = spark.createDataFrame([(f"d{i}", (EN if i % 2 else DE) * 3 + more[i % 2]) for i in range(40)] + [("n", None)], "document_id string, markdown string")
     labels = spark.createDataFrame([(f"d{i}", "English" if i % 2 else "de-DE") for i in range(40)], "document_id string, doc_language string")
     rows = [
         ("d1", 1, "What limits the main pump?", "The upper valve limits the main pump during routine review.", 0), ("d1", 2, "What limits the main pump?", "The upper valve limits the", 0), ("d1", 3, "What limits?", None, 0), ("d1", 4, "What limits?", ' "N/A" ', 0),
@@ -107,6 +108,18 @@ def test_defects(spark):
     assert got == {("d1", 2, "truncated"), ("d1", 3, "empty"), ("d1", 4, "empty"), ("d3", 1, "copy"), ("d3", 2, "refusal"), ("d5", 2, "refusal"), ("d5", 3, "other_language")}
 
 
+def test_openings_similar_to_no_least_one(spark):
+    # in the band that the two latter share, the first is the least and similar to neither
+    rows = [("we decline to answer this here now", "d1"), ("we decline to answer that question today please", "d2"), ("sorry but no reply exists for it", "d3"), ("sorry but no reply exists for that", "d4"), ("quite another opening with its own words", "d5")]
+    got = {r["opening"] for r in responses.templates(spark.createDataFrame(rows, "opening string, document_id string")).collect()}
+    sets = {o: set(responses.opening_shingles(o).tolist()) for o, _ in rows}
+    want = {a for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= responses.SIMILAR * len(sets[a] | sets[b])}
+    assert got == want and len(want) >= 2
+    table = pa.RecordBatch.from_arrays([pa.array(["a b c", "b c d", "c d e f", "x y"]), pa.array([1, 1, 1, 1])], ["opening", "band"])
+    links = {(r["opening"], r["template"]) for b in responses._leaders(iter([table])) for r in b.to_pylist()}
+    assert links == {("a b c", "a b c"), ("b c d", "b c d"), ("c d e f", "c d e f"), ("x y", "x y")}
+
+
 # 3 -------------------------------------------------------------------------------------------
 
 
@@ -140,11 +153,12 @@ def test_split_frame(spark):
 def test_languages(spark):
     labels = [(f"d{i}", "en_US" if i % 2 else "Deutsch", i) for i in range(40)] + [("x", "de", 0), ("y", None, 0), ("z", "Turkish", 0), ("none", "xx", 0)]
     rows = [(f"d{i}", f"c{i}", (EN if i % 2 else DE) * 3) for i in range(40)]
+    rows += [("y", "cs", EN + "Die obere Leitung begrenzt die feste Pumpe unter der Meldung. Nach der Lagerung. " + EN), ("y", "code", "4kx9 qz7w " * 900 + "7ab3k2lm9xqz8w1v" * 400)]
     rows += [("x", "cx", EN * 4 + DE), ("x", "cx", EN * 4 + DE), ("y", "cy", EN + "Die obere Leitung begrenzt die feste Pumpe. " + EN), ("z", "cz", DE * 2), ("none", "cn", None), ("none", "cm", "")]
     docs, parts = languages.label_languages(spark.createDataFrame(labels, "document_id string, doc_language string, words int"), spark.createDataFrame(rows, "document_id string, chunk_id string, raw_content string"))
     got = {r["document_id"]: (r["lang"], r["status"]) for r in docs.collect()}
     assert (got["d1"], got["d2"], got["x"], got["y"], got["z"], got["none"]) == (("en", "ok"), ("de", "ok"), ("en", "wrong"), ("en", "missing"), ("de", "wrong"), (None, "unknown"))
-    assert [(r["chunk_id"], r["lang"], r["sentences"]) for r in parts.collect()] == [("cx", "de", 2)]
+    assert sorted((r["chunk_id"], r["lang"], r["sentences"]) for r in parts.collect()) == [("cs", "de", 2), ("cx", "de", 2)]
 
 
 # 5 -------------------------------------------------------------------------------------------
