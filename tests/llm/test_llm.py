@@ -153,7 +153,7 @@ def test_split_frame(spark):
 def test_languages(spark):
     labels = [(f"d{i}", "en_US" if i % 2 else "Deutsch", i) for i in range(40)] + [("x", "de", 0), ("y", None, 0), ("z", "Turkish", 0), ("none", "xx", 0)]
     rows = [(f"d{i}", f"c{i}", (EN if i % 2 else DE) * 3) for i in range(40)]
-    rows += [("y", "cs", EN + "Die obere Leitung begrenzt die feste Pumpe unter der Meldung. Nach der Lagerung. " + EN), ("y", "code", "4kx9 qz7w " * 900 + "7ab3k2lm9xqz8w1v" * 400)]
+    rows += [("y", "cs", EN + "Die obere Leitung begrenzt die feste Pumpe nach langer Lagerung. Nach langer Lagerung. " + EN), ("y", "code", "4kx9 qz7w " * 900 + "7ab3k2lm9xqz8w1v" * 400)]
     rows += [("x", "cx", EN * 4 + DE), ("x", "cx", EN * 4 + DE), ("y", "cy", EN + "Die obere Leitung begrenzt die feste Pumpe. " + EN), ("z", "cz", DE * 2), ("none", "cn", None), ("none", "cm", "")]
     docs, parts = languages.label_languages(spark.createDataFrame(labels, "document_id string, doc_language string, words int"), spark.createDataFrame(rows, "document_id string, chunk_id string, raw_content string"))
     got = {r["document_id"]: (r["lang"], r["status"]) for r in docs.collect()}
