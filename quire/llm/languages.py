@@ -122,10 +122,10 @@ def fit(labelled: list[tuple[str, str]], seed: int = 4) -> Model:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
         s = own @ c.T
         a = s.argmax(axis=1)
-        for k in range(CENTROIDS):
+        for k in np.unique(a):  # a centroid without a sample has no radius
             cents.append(c[k])
             langs.append(g)
-            least.append(WIDENED * np.quantile(s[a == k, k], REJECTED) if (a == k).any() else 2.0)
+            least.append(WIDENED * np.quantile(s[a == k, k], REJECTED))
     return Model(idf, np.stack(cents).astype(np.float32), np.array(langs), np.array(least))
 
 
