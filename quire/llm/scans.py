@@ -2,8 +2,8 @@
 
 A word as printed came from a word of the corpus through a channel that confuses characters.
 Candidates are the corpus words from which a confusion leads to the printed one; each line is
-decoded by Viterbi over the candidates of its words, with confusion probabilities, word
-frequencies and word-pair frequencies of the whole corpus. Running lines are found by their
+decoded by Viterbi over the candidates of its words, with confusion probabilities estimated
+on the corpus, and the likelihood of words and word pairs in the whole corpus. Running lines are found by their
 repetition over pages, page numbers by their notation, broken words by the lexicon.
 """
 
@@ -27,13 +27,15 @@ from .common import cut, read, strings
 CONFUSIONS = [("c", "e"), ("†", "t"), ("1", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("ii", "ü"), ("vv", "w"), ("g˘", "ğ"), ("s,", "ş"), ("!", "ı"), ("1", "ı"), ("ﬁ", "fi"), ("ﬂ", "fl")]
 #: Confusions whose left side is no letter; a word of letters with one of them isn't a word as it stands.
 SIGNS = re.compile(r"[†˘!0-9,ﬁﬂ]")
-#: Chance of a confusion where it can occur, and weight of a word's count on scanned pages against clean ones.
-CONFUSED, SCANNED_WEIGHT = 0.03, 0.1
-#: Confusions in one word at most, longest word that is corrected, candidates of a word that are kept (the likeliest ones).
-EDITS, LONGEST, KEPT = 2, 40, 4
-#: Buckets of the table of word pairs; its size doesn't grow with the corpus.
+#: Chance of a confusion where it can occur, before it is estimated, the occurrences this counts as in the estimate, and
+#: weight of a word's count on scanned pages against clean ones (most words seen on scanned pages alone are misread).
+CONFUSED, BELIEVED, SCANNED_WEIGHT = 0.03, 50, 0.015
+#: Confusions in one word at most, shortest and longest word that is corrected, candidates of a word that are kept (the likeliest ones).
+EDITS, SHORTEST, LONGEST, KEPT = 2, 3, 40, 4
+#: Buckets of the table of word pairs, and of words; their size doesn't grow with the corpus. What other entries of a
+#: bucket are expected to add is taken off a count, so that a full table says less, and nothing wrong.
 PAIR_BUCKETS = 1 << 20
-#: Corrections that are sent to every worker at most; more are joined to the pages instead.
+#: Corrections that are sent to every worker at most; more are joined to the pages instead, with the same result.
 SENT = 400_000
 #: Pages on which an edge line must stand, and its longest length.
 RUNNING_PAGES, RUNNING_CHARS = 2, 90
@@ -55,6 +57,11 @@ def lowered(text: str) -> str:
     return text.replace("İ", "i").lower()
 
 
+def joined_lines(text: str) -> str:
+    """The text with every word joined that may be broken over two lines."""
+    return BROKEN.sub(r"\1\n", text)
+
+
 def is_word(token: str) -> bool:
     return 1 < len(token) <= LONGEST and not token.isdigit()
 
@@ -73,11 +80,12 @@ class _Hashes(dict):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts on clean and scanned pages, and pair buckets, added up within the partition."""
     clean, scanned, compounds = Counter(), Counter(), Counter()
+    joined: set[str] = set()  # of broken words; they can be corrected, but count nothing as long as it isn't known how they are written
     known = _Hashes()
-    pairs = np.zeros(PAIR_BUCKETS, np.int32)
+    pairs = np.zeros(2 * PAIR_BUCKETS, np.int32)  # of pairs, then of single words
 
     def flush() -> Iterator[pa.RecordBatch]:
-        names = [*clean, *(w for w in scanned if w not in clean), *compounds]
+        names = [*clean, *(w for w in scanned if w not in clean), *compounds, *(w for w in joined if w not in clean and w not in scanned)]
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays(
             [
@@ -96,12 +104,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (scanned if scan else clean).update(ws)
             if "-" in low:
                 compounds.update(COMPOUND.findall(low))
-            if len(ws) > 1:
+            if BROKEN.search(low):
+                joined.update(set(TOKEN.findall(joined_lines(low))).difference(ws))
+            if ws:
                 h = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
                 np.add.at(pairs, pair_bucket(h[:-1], h[1:]), 1)
+                np.add.at(pairs, PAIR_BUCKETS + h % PAIR_BUCKETS, 1)
         if len(known) > 300_000:  # a bound of memory: what was counted goes out, and counting starts anew
             yield from flush()
-            for c in (clean, scanned, compounds, known):
+            for c in (clean, scanned, compounds, joined, known):
                 c.clear()
             pairs[:] = 0
     yield from flush()
@@ -109,26 +120,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pair_bucket(a, b):
     """Bucket of a pair of 31-bit word hashes."""
+    if isinstance(a, int):
+        m = (1 << 64) - 1
+        return (((a * 0x9E3779B97F4A7C15 & m) ^ (b * 0xC2B2AE3D27D4EB4F & m)) * 0xD6E8FEB86659FD93 & m) >> 44
     x = (np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
 
 
-def sources(word: str) -> dict[str, int]:
-    """The forms from which at most EDITS confusions lead to the word, with the number of confusions."""
-    out, edge = {}, {word: 0}
-    for n in range(1, EDITS + 1):
-        new: dict[str, int] = {}
-        for form in edge:
-            for printed, meant in CONFUSIONS:
+def sources(word: str) -> dict[str, tuple[int, ...]]:
+    """The forms from which at most EDITS confusions lead to the word, with these confusions' numbers."""
+    out, edge = {}, {word: ()}
+    for _ in range(EDITS):
+        new: dict[str, tuple[int, ...]] = {}
+        for form, before in edge.items():
+            for k, (printed, meant) in enumerate(CONFUSIONS):
                 at = form.find(printed)
                 while at >= 0:
                     s = form[:at] + meant + form[at + len(printed) :]
                     if s not in out and s != word:
-                        new.setdefault(s, n)
+                        new.setdefault(s, (*before, k))
                     at = form.find(printed, at + 1)
         out |= new
-        if len(out) > 400:
-            break
         edge = new
     return out
 
@@ -137,32 +149,57 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, forms, edits = [], [], []
         for i, w in enumerate(strings(batch, 0)):
-            if is_word(w) and len(w) > 2:
-                for f, n in sources(w).items():
-                    if len(f) > 2 and not SIGNS.search(f):
+            if is_word(w) and len(w) >= SHORTEST:
+                for f, ks in sources(w).items():
+                    if len(f) >= SHORTEST and not SIGNS.search(f):
                         at.append(i)
                         forms.append(f)
-                        edits.append(n)
+                        edits.append(ks)
         for k in range(0, len(at), 20_000):
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at[k : k + 20_000])) for c in batch.columns), pa.array(forms[k : k + 20_000]), pa.array(edits[k : k + 20_000], pa.int32())], ["word", "w", "form", "edits"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at[k : k + 20_000])) for c in batch.columns), pa.array(forms[k : k + 20_000]), pa.array(edits[k : k + 20_000], pa.list_(pa.int32()))], ["word", "w", "scanned", "form", "edits"])
 
 
-def corrections(lexicon: DataFrame) -> DataFrame:
-    """(word, form, gain): printed words and the corpus words they may stand for.
+def _gain(chances: list[float]):
+    """A form's logarithmic advantage over the word as it stands: its frequency times the chance of the confusions, against
+    the word's own frequency."""
+    logs = F.array(*(F.lit(math.log(p)) for p in chances))
+    confused = F.aggregate("edits", F.lit(0.0), lambda s, k: s + F.element_at(logs, k + 1))
+    own = F.when(F.col("word").rlike(r"[†˘!,ﬁﬂ]|\p{L}\d|\d\p{L}"), F.col("w") * 0.01).otherwise(F.col("w"))
+    return F.log(F.col("fw")) + confused - F.log(F.greatest(own, F.lit(1e-3)))
+
+
+def chances(pairs: DataFrame, lexicon: DataFrame) -> list[float]:
+    """Chance of each confusion where it can occur: one round of expectation and maximisation.
 
-    gain is the form's logarithmic advantage over the word as it stands: its frequency times
-    the chance of the confusions, against the word's own frequency.
+    Expected are a printed word's occurrences on scanned pages, times the chance that it
+    stands for its best form under equal chances; they are compared with the occurrences of
+    what was meant. ``pairs``: word, scanned, w, form, edits, fw.
     """
+    best = Window.partitionBy("word").orderBy(F.desc("gain"), "form")
+    first = pairs.withColumn("gain", _gain([CONFUSED] * len(CONFUSIONS))).withColumn("k", F.row_number().over(best)).filter("k = 1")
+    seen = F.col("scanned") / (1 + F.exp(-F.col("gain")))
+    misread = {r["e"]: r["n"] for r in first.select(F.explode("edits").alias("e"), seen.alias("n")).groupBy("e").agg(F.sum("n").alias("n")).collect()}
+    meant = sorted({m for _, m in CONFUSIONS})
+    there = lexicon.agg(*(F.coalesce(F.sum(F.col("scanned") * F.regexp_count("word", F.lit(re.escape(m)))), F.lit(0)).alias(f"m{i}") for i, m in enumerate(meant))).first()
+    out = []
+    for k, (_, m) in enumerate(CONFUSIONS):
+        n = misread.get(k, 0.0)
+        out.append(min(0.5, max(1e-5, (n + CONFUSED * BELIEVED) / (there[f"m{meant.index(m)}"] + n + BELIEVED))))
+    return out
+
+
+def corrections(lexicon: DataFrame) -> DataFrame:
+    """(word, form, gain): printed words and the corpus words they may stand for, the KEPT likeliest of each."""
     weight = F.col("clean") + SCANNED_WEIGHT * F.col("scanned")
-    weighted = lexicon.select("word", weight.alias("w"))
+    weighted = lexicon.select("word", weight.alias("w"), "scanned")
     # a word has a rival only if it holds a confusion's left side; this filter runs before Python
     left = "|".join(re.escape(p) for p, _ in CONFUSIONS)
-    asked = weighted.filter((F.length("word") <= LONGEST) & F.col("word").rlike(left)).mapInArrow(_forms, "word string, w double, form string, edits int")
-    there = weighted.select(F.col("word").alias("form"), F.col("w").alias("fw")).filter("fw >= 0.2")
-    gain = F.log(F.col("fw")) + F.col("edits") * float(np.log(CONFUSED)) - F.log(F.greatest(F.when(F.col("word").rlike(r"[†˘!,ﬁﬂ]|\p{L}\d|\d\p{L}"), F.col("w") * 0.01).otherwise(F.col("w")), F.lit(1e-3)))
-    joined = asked.join(there, "form").select("word", "form", gain.alias("gain"))
+    asked = weighted.filter((F.length("word") <= LONGEST) & F.col("word").rlike(left)).mapInArrow(_forms, "word string, w double, scanned long, form string, edits array<int>")
+    there = weighted.select(F.col("word").alias("form"), F.col("w").alias("fw")).filter(F.col("fw") >= 2 * SCANNED_WEIGHT)
+    joined = cut(asked.join(there, "form"))
     best = Window.partitionBy("word").orderBy(F.desc("gain"), "form")
-    return joined.filter(F.col("gain") > -3).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= KEPT).drop("k")
+    gained = joined.select("word", "form", _gain(chances(joined, lexicon)).alias("gain"))
+    return gained.filter(F.col("gain") > -3).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= KEPT).drop("k")
 
 
 def hyphened(lexicon: DataFrame) -> DataFrame:
@@ -175,18 +212,24 @@ def hyphened(lexicon: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- decoding of pages
 
-PAIR_WEIGHT = 0.5
-
-
 class Channel:
-    """Corrections and word pairs as the decoder reads them."""
+    """Corrections and counts of words and pairs, as the decoder reads them."""
 
-    def __init__(self, table: dict[str, list[tuple[str, float]]], pairs: np.ndarray) -> None:
-        self.table, self.pairs = table, pairs
+    def __init__(self, table: dict[str, list[tuple[str, float]]], counts: np.ndarray, known: _Hashes) -> None:
+        self.table, self.counts, self.known = table, counts, known
+        self.total = int(counts[PAIR_BUCKETS:].sum())
+
+    def count(self, bucket: int) -> float:
+        """A bucket's count less what other entries are expected to add to it."""
+        n = int(self.counts[bucket])
+        return max(0.0, n - (self.total - n) / PAIR_BUCKETS)
 
     def pair(self, a: str, b: str) -> float:
-        h = np.array([[xxhash.xxh3_64_intdigest(x) & 0x7FFFFFFF] for x in (a, b)])
-        return PAIR_WEIGHT * math.log1p(self.pairs[pair_bucket(h[0], h[1])[0]])
+        """How much likelier b is after a than anywhere, with one occurrence added to what is counted and what is expected."""
+        x, y = self.known[a], self.known[b]
+        together = self.count(int(pair_bucket(x, y)))
+        apart = self.count(PAIR_BUCKETS + x % PAIR_BUCKETS) * self.count(PAIR_BUCKETS + y % PAIR_BUCKETS) / max(1, self.total)
+        return math.log((together + 1) / (apart + 1))
 
     def decode(self, words: list[str], prior: float) -> dict[int, str]:
         """Viterbi over the candidates of a line's words; prior is added for each corrected word. Place -> word meant."""
@@ -220,9 +263,12 @@ class Channel:
 
 
 def edge_lines(text: str) -> list[tuple[int, int, str]]:
-    """(rank, line number, line) of the two first (rank 0, 1) and two last (rank -1, -2) lines that aren't blank."""
+    """(rank, line number, line) of the two first (rank 0, 1) and two last (rank -1, -2) lines that aren't blank.
+
+    On a page with fewer than four such lines, a line can be among both.
+    """
     full = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
-    top, end = full[:2], full[2:][-2:] if len(full) > 2 else []
+    top, end = full[:2], full[-2:]
     return [(r, *x) for r, x in enumerate(top)] + [(-1 - r, *x) for r, x in enumerate(reversed(end))]
 
 
@@ -256,6 +302,10 @@ def broken_words(text: str, compounds) -> list[tuple[int, int, str]]:
     return out
 
 
+def in_order(candidates: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    return sorted(candidates, key=lambda c: (-c[1], c[0]))
+
+
 def restore_case(printed: str, meant: str) -> str:
     if printed[:1].isupper() or (not printed[:1].isalpha() and printed[1:].isupper()):
         return meant[:1].upper() + meant[1:] if not (len(printed) > 1 and printed.isupper()) else meant.upper()
@@ -294,25 +344,26 @@ def page_repairs(text: str, channel: Channel, prior: float) -> tuple[str, bool,
 PAGE = "document_id string, page_number int, text string, broken boolean, misread int, edges array<struct<rank:int,line:int,key:string,number:boolean>>"
 _EDGE_TYPE = pa.list_(pa.struct([("rank", pa.int32()), ("line", pa.int32()), ("key", pa.string()), ("number", pa.bool_())]))
 
-_CHANNELS: dict[str, Channel] = {}
-
 
 def _repair(shared, keep_text: bool):
     """shared: broadcast of (corrections or None, pairs); without corrections each row brings its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, pairs = shared.value
-        whole = Channel(table, pairs) if table is not None else None
+        table, counts = shared.value
+        known = _Hashes()
+        whole = Channel(table, counts, known) if table is not None else None
         for batch in batches:
             rows = []
             own = batch.column(4).to_pylist() if whole is None else [None] * batch.num_rows
+            if len(known) > 300_000:
+                known.clear()
             for text, sure, mine in zip(strings(batch, 2), batch.column(3).to_pylist(), own):
                 channel = whole
                 if channel is None:
                     by: dict[str, list] = {}
                     for c in mine or []:
                         by.setdefault(c["word"], []).append((c["form"], c["gain"]))
-                    channel = Channel(by, pairs)
+                    channel = Channel({w: in_order(c) for w, c in by.items()}, counts, known)
                 # the less sure the layout was of a page's text, the likelier confusions are; unknown counts as sure
                 prior = 2.0 * (1.0 - min(1.0, max(0.0, sure if sure is not None else 1.0)))
                 fixed, broken, misread = page_repairs(text, channel, prior)
@@ -330,7 +381,8 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in enumerate(strings(batch, 2)):
             low = lowered(t)
             compounds = {low[m.start() - len(a) : m.start()] + "-" + m.group(1) for m in BROKEN.finditer(low) for a in [re.search(r"[^\W_]*\Z", low[max(0, m.start() - LONGEST) : m.start()]).group()]}
-            for w in compounds.union(TOKEN.findall(low)):
+            # of a broken word: the parts, the word with a hyphen and the joined word, as either may be what is corrected
+            for w in compounds.union(TOKEN.findall(low), TOKEN.findall(joined_lines(low))):
                 at.append(i)
                 ws.append(w)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(ws, pa.string())], ["document_id", "page_number", "word"])
@@ -342,7 +394,7 @@ def repaired_pages(pages: DataFrame, blocks: DataFrame | None = None, keep_text:
     Pages with a broken text layer (garbled) are left out, as are null document ids and page
     numbers; a page delivered more than once counts once, with its latest text. Null and
     empty texts give a row without findings. ``blocks`` (with confidences) says how far a
-    page's text is trusted. Very long words (over LONGEST) aren't corrected.
+    page's text is trusted. Words shorter than SHORTEST or longer than LONGEST aren't corrected.
     """
     spark = pages.sparkSession
     cols = pages.filter(~F.coalesce("garbled", F.lit(False))).select(F.col("document_id").cast("string"), F.col("page_number").cast("int"), F.col("markdown").alias("text"), F.coalesce("scanned", F.lit(False)).alias("scanned"), "ingested_at")
@@ -350,14 +402,15 @@ def repaired_pages(pages: DataFrame, blocks: DataFrame | None = None, keep_text:
     counted = cut(cols.select("text", "scanned").mapInArrow(_count, "word string, bucket int, clean long, scanned long").groupBy("word", "bucket").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned")))
     lexicon = counted.filter("bucket < 0").drop("bucket")
     found = cut(corrections(lexicon).unionByName(hyphened(lexicon)))
-    pairs = np.zeros(PAIR_BUCKETS, np.int32)
-    bucket_rows = counted.filter("bucket >= 0").select("bucket", F.least(F.col("clean"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most PAIR_BUCKETS rows
+    pairs = np.zeros(2 * PAIR_BUCKETS, np.int32)
+    bucket_rows = counted.filter("bucket >= 0").select("bucket", F.least(F.col("clean"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most 2 * PAIR_BUCKETS rows
     pairs[bucket_rows.column(0).to_numpy()] = bucket_rows.column(1).to_numpy()
     few = found.count() <= sent
     table: dict[str, list[tuple[str, float]]] | None = {} if few else None
     if few:
         for r in found.collect():
             table.setdefault(r["word"], []).append((r["form"], r["gain"]))
+        table = {w: in_order(c) for w, c in table.items()}
     shared = spark.sparkContext.broadcast((table, pairs))
     latest = cols.groupBy("document_id", "page_number").agg(F.max_by("text", "ingested_at").alias("text"))
     if blocks is None:

@@ -298,6 +298,24 @@ def test_scan_repair(spark):
         assert text["d", 3] == good and text["e", 1] == "the internal valve limits the upper pump and the internal meter" and text["f", 1] == ""
 
 
+def test_broken_word_that_is_misread(spark):
+    good = "the internal valve limits the upper pump and the meter reports the current state of the order"
+    rows = [("d", n, f"{good}\n{good}\n{good} {n}", False, False, n) for n in range(1, 30)] + [("e", 1, "the upper pump of the inter-\nna1 valve and the upp-\ncr meter", True, False, 1), ("e", 2, "the text of a page\n13", True, False, 1)]
+    df = spark.createDataFrame(rows, "document_id string, page_number int, markdown string, scanned boolean, garbled boolean, ingested_at int")
+    sent, joined = ({(r["document_id"], r["page_number"]): (r["text"], r["misread"]) for r in scans.repaired_pages(df, sent=n).collect()} for n in (scans.SENT, -1))
+    assert sent == joined and " ".join(sent["e", 1][0].split()) == "the upper pump of the internal valve and the upper meter" and sent["e", 1][1] == 2
+    assert {tuple(r) for r in scans.noise(scans.repaired_pages(df)).filter("document_id = 'e'").collect()} == {("e", 1, "hyphen"), ("e", 1, "misread"), ("e", 2, "number")}
+
+
+def test_chances_follow_the_corpus(spark):
+    lexicon = spark.createDataFrame([("lever", 500, 400), ("1ever", 0, 100), ("metal", 500, 500), ("mcta1", 0, 0), ("house", 900, 900)], "word string, clean long, scanned long")
+    table = {(r["word"], r["form"]): r["gain"] for r in scans.corrections(lexicon).collect()}
+    assert ("1ever", "lever") in table
+    weighted = spark.createDataFrame([("1ever", 10.0, 100, "lever", [scans.CONFUSIONS.index(("1", "l"))], 540.0)], "word string, w double, scanned long, form string, edits array<int>, fw double")
+    got = dict(zip(scans.CONFUSIONS, scans.chances(weighted, lexicon)))
+    assert 0.08 < got["1", "l"] < 0.12 and got["c", "e"] < 0.002 and got["†", "t"] < 0.01
+
+
 # 8 -------------------------------------------------------------------------------------------
 
 
