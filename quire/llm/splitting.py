@@ -1,7 +1,8 @@
 """Problem 3: items over a size limit, cut into balanced pieces at natural boundaries.
 
 Method: the least number of pieces gives equal-length targets; each target snaps to the
-strongest boundary near it; when a piece still exceeds the limit, one more piece is tried.
+strongest boundary near it. Where a piece exceeds the limit, what is left from there on gets
+one more piece and new targets; what lies before stays, so that the work is linear.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import read
 
 #: Characters a token in the estimate, and the default limit and overlap in tokens.
 CHARS_PER_TOKEN, LIMIT_TOKENS, OVERLAP_TOKENS = 3.5, 512, 32
-#: Part of a target's length within which its cut may move; below one half, so that cuts stay in order.
-SLACK = 0.25
+#: Part of a target's length within which its cut may move.
+SLACK = 0.15
 
 STRENGTHS = ("character", "word", "clause", "sentence", "line", "paragraph", "heading")
 _BREAK = regex.compile(
@@ -49,37 +50,47 @@ def boundaries(text: str) -> list[list[int]]:
     return by
 
 
-def cut_points(text: str, pieces: int, by: list[list[int]]) -> list[tuple[int, str]]:
-    """Inner cuts for this number of pieces with the strength of each."""
-    target = len(text) / pieces
-    cuts = []
-    for i in range(1, pieces):
-        goal, reach = i * target, SLACK * target
-        for s in range(len(STRENGTHS) - 1, 0, -1):
-            lo, hi = bisect_left(by[s], goal - reach), bisect_right(by[s], goal + reach)
-            if lo < hi:
-                at = min(by[s][lo:hi], key=lambda p: (abs(p - goal), p))
-                break
-        else:
-            at, s = int(goal), 0
-        cuts.append((at, STRENGTHS[s]))
-    return cuts
+def snapped(by: list[list[int]], goal: float, low: float, high: float) -> tuple[int, str]:
+    """The strongest boundary from low to high, of equal ones the nearest to the goal; without any the goal itself."""
+    for s in range(len(STRENGTHS) - 1, 0, -1):
+        i, j = bisect_left(by[s], low), bisect_right(by[s], high)
+        if i < j:
+            k = bisect_left(by[s], goal, i, j)
+            return min(by[s][max(i, k - 1) : k + 1] or by[s][j - 1 : j], key=lambda p: (abs(p - goal), p)), STRENGTHS[s]
+    return int(goal), "character"
 
 
-def split_text(text: str, fits: Callable[[str], bool], fewest: int, overlap_chars: int) -> list[tuple[int, int, str]]:
-    """(start, end, boundary) of each piece; start of all but the first lies overlap_chars before the cut.
+def split_text(text: str, fits: Callable[[str], bool], room: int, overlap_chars: int) -> list[tuple[int, int, str]]:
+    """(start, end, boundary) of each piece.
 
-    Texts without any boundary are cut between characters. An item of one character that
-    does not fit stays as it is.
+    ``room`` is the length of a piece, the overlap left out, that is expected to fit. All
+    pieces but the first begin overlap_chars before their cut, or at the first beginning of a
+    word after that place if there is one before the cut. Texts without any boundary are cut
+    between characters. An item of one character that does not fit stays as it is.
     """
-    by, n = boundaries(text), max(1, fewest)
-    while True:
-        cuts = [(0, "start"), *cut_points(text, min(n, len(text)), by)]
-        ends = [c for c, _ in cuts[1:]] + [len(text)]
-        out = [(max(0, c - overlap_chars) if c else 0, e, s) for (c, s), e in zip(cuts, ends) if e > c]
-        if n >= len(text) or all(fits(text[a:b]) for a, b, _ in out):
-            return out
-        n += 1
+    by, end = boundaries(text), len(text)
+    every = sorted({0, *(p for ps in by for p in ps)})
+    out, cut, kind, more = [], 0, "start", 0
+    while cut < end:
+        start = max(0, cut - overlap_chars) if cut else 0
+        if start < cut and start:
+            k = bisect_left(every, start)
+            start = every[k] if k < len(every) and every[k] < cut else start
+        pieces = -(-(end - cut) // room) + more
+        to, next_kind = end, "end"
+        if pieces > 1:
+            target = (end - cut) / pieces
+            low, high = cut + (1 - SLACK) * target, cut + min(max(float(room), target), (1 + SLACK) * target)
+            to, next_kind = snapped(by, cut + target, low, high)
+            to = max(cut + 1, to)
+        if to - cut > 1 and not fits(text[start:to]):
+            if (end - cut) / (pieces + 1) >= 1:
+                more += 1 + more // 4  # in larger steps where the text is far off the expected length
+                continue
+            start, to, next_kind = cut, cut + 1, "character"  # not even one character fits beside the overlap
+        out.append((start, to, kind))
+        cut, kind, more = to, next_kind, 0
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -114,7 +125,7 @@ def _pieces(limit: int, overlap: int, vocabulary: str | None) -> Callable[[Itera
                     continue
                 chars = int(overlap * (per_token or len(text) / total))
                 room = max(1, int((limit - overlap) * (per_token or len(text) / total)))
-                spans = split_text(text, lambda t: count(t) <= limit, -(-max(1, len(text) - chars) // room), chars)
+                spans = split_text(text, lambda t: count(t) <= limit, room, chars)
                 cut = 0
                 for i, (a, b, kind) in enumerate(spans):
                     rows.append((key, i, len(spans), a, b, cut - a, count(text[a:b]), kind, text[a:b]))
@@ -132,9 +143,10 @@ def split_oversized(df: DataFrame, key: str, text: str, limit_tokens: int = LIMI
 
     Items within the limit, and null or empty texts, give no rows. A null key is kept as
     null. Rows that repeat an item (same key and text) count once; a key with two different
-    texts gives the pieces of both. Consecutive pieces share exactly ``overlap_chars``
-    characters, the estimate's characters for ``overlap_tokens`` (with a vocabulary, the
-    item's own mean), so dropping them and joining the pieces gives the item back. Every
+    texts gives the pieces of both. Consecutive pieces share ``overlap_chars``
+    characters: the estimate's characters for ``overlap_tokens`` (with a vocabulary, the
+    item's own mean) or, to begin with a whole word, up to one word less. Dropping them and
+    joining the pieces gives the item back. Every
     piece is within the limit, the overlap included. Other columns of ``df`` are not read.
     """
     if not 0 <= 2 * overlap_tokens <= limit_tokens:

@@ -128,14 +128,29 @@ def test_openings_similar_to_no_least_one(spark):
 def test_split_round_trip(text, limit, overlap):
     count = lambda t: -(-len(t) * 2 // 7)
     chars = int(overlap * 3.5)
-    spans = splitting.split_text(text, lambda t: count(t) <= limit, 1, chars) if text else []
+    spans = splitting.split_text(text, lambda t: count(t) <= limit, max(1, int(limit * 3.5) - chars), chars) if text else []
     cut, joined = 0, ""
     for a, b, _ in spans:
-        assert count(text[a:b]) <= limit and a == (max(0, cut - chars) if cut else 0)
+        assert count(text[a:b]) <= limit and cut - chars <= a <= cut
         joined, cut = joined + text[cut:b], b
     assert joined == text
 
 
+def test_split_where_the_expected_length_is_wrong():
+    text = "aa bb. " * 400
+    spans = splitting.split_text(text, lambda t: len(t) <= 50, 400, 5)
+    assert all(b - a <= 50 for a, b, _ in spans) and len(spans) < 1.5 * len(text) / 45 and spans[-1][1] == len(text)
+
+
+def test_split_of_a_long_text():
+    rng = random.Random(4)
+    text = "\n\n".join(" ".join(" ".join(rng.choices(["alpha", "be", "gamma", "delta"], k=rng.randrange(4, 20))) + "." for _ in range(rng.randrange(1, 12))) for _ in range(2500))
+    calls = []
+    spans = splitting.split_text(text, lambda t: calls.append(len(t)) or -(-len(t) * 2 // 7) <= 512, 1680, 112)
+    assert len(spans) <= 1.1 * -(-len(text) // 1680) and sum(calls) < 4 * len(text)
+    assert all(text[a - 1] in " \n" and 90 < cut - a <= 112 for (_, cut, _), (a, _, _) in zip(spans, spans[1:])) and sum(k == "paragraph" for *_, k in spans) > 0.4 * len(spans)
+
+
 def test_split_frame(spark):
     rows = [("a", EN * 40, 1), ("a", EN * 40, 2), ("b", "short", 1), ("c", None, 1), ("d", "", 1), ("e", LONG, 1), ("f", "x" * 5000, 1)]
     out = splitting.split_oversized(spark.createDataFrame(rows, "k string, t string, piece int"), "k", "t").collect()
