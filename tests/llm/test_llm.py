@@ -404,6 +404,22 @@ def test_mix(spark):
     assert mixing.mix(counts.limit(0), targets)[0].count() == 0
 
 
+def test_mix_fills_budgets_and_passes_shortages_on(spark):
+    rng = random.Random(7)
+    docs = [(i, s, "en", rng.choice([3, 5, 8, 400])) for i, s in enumerate(rng.choices(["a", "b", "c"], [1, 6, 6], k=900))]
+    counts = spark.createDataFrame(docs, "doc_id long, source string, lang string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.1, 1), ("c", 0.5, 1)], "source string, target_share double, max_repeats int")
+    total = sum(d[3] for d in docs)
+    for wanted in (total * 0.3, total * 0.5):
+        chosen, report = mixing.mix(counts, targets, wanted, domains={"a": "x", "b": "x"})
+        room = {s: sum(d[3] for d in docs if d[1] == s) for s in "abc"}
+        a = min(room["a"], 0.4 * wanted)
+        want = {"a": a, "b": min(room["b"], 0.5 * wanted - a), "c": 0.5 * wanted}
+        got = {r["source"]: r["actual_tokens"] for r in report.collect()}
+        assert all(want[s] - 3 <= got[s] <= want[s] for s in want) and (wanted < total * 0.4 or a == room["a"])
+        assert chosen.select("doc_id").distinct().count() == chosen.count()
+
+
 # 10 ------------------------------------------------------------------------------------------
 
 
