@@ -20,13 +20,17 @@ from .common import cut, read
 
 #: Vectors on which centroids and codebooks are fitted, at most (about; drawn by a hash of the key). Not a bound of the index.
 SAMPLE = 32_768
-#: Vectors a list holds on average, lists at most, and stored vectors of a list that one task compares.
-LIST, LISTS, BLOCK = 2048, 4096, 4096
+#: Vectors a list holds on average, lists at most (the sample allows for no more).
+LIST, LISTS = 4096, 4096
+#: A list with more vectors is divided once more, by centroids fitted in its task; lists of more than BLOCK are divided among tasks first.
+PART, BLOCK = 8192, 200_000
 #: Lists searched at least; share of the drawn vectors' true neighbours that the searched lists hold; vectors drawn for that (about).
-PROBES, COVER, DRAWN = 4, 0.98, 256
-#: Points of a list (or block) reranked for a query: RERANK at least, and one in SHARE.
-RERANK, SHARE = 128, 16
+PROBES, COVER, DRAWN = 3, 0.98, 256
+#: Points of a list (or part) reranked for a query: RERANK at least, and one in SHARE. Queries scored together.
+RERANK, SHARE, TOGETHER = 64, 64, 256
 PARTS, CODES, ROUNDS = 16, 256, 8
+#: Bytes a task of the search reads, about.
+TASK_BYTES = 24 << 20
 
 
 class Index(NamedTuple):
@@ -92,34 +96,80 @@ def encode(residual: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([nearest(residual[:, p * w : (p + 1) * w], b, 1, False)[:, 0] for p, b in enumerate(books)], axis=1)
 
 
+def adc(queries: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Scores (points, queries): sums over the parts of each query's table of inner products with the codes.
+
+    Tables are laid out by code, so that a point's entries for all queries are one stretch of memory.
+    """
+    w = books.shape[2]
+    out = np.zeros((len(codes), len(queries)), np.float32)
+    row = np.empty_like(out)
+    for m, book in enumerate(books):
+        table = book @ queries[:, m * w : (m + 1) * w].T
+        np.take(table, codes[:, m], axis=0, out=row, mode="clip")
+        out += row
+    return out
+
+
 def search_list(queries: np.ndarray, points: np.ndarray, centroid: np.ndarray, books: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, point, cosine) of the best k points of a list for each query; own: the query's place among the points, or -1."""
     q, p = unit(queries), unit(points)
-    q32 = q.astype(np.float32)
-    codes = encode(p.astype(np.float32) - centroid, books)
-    keep = min(max(RERANK, k + 1, len(p) // SHARE), len(p))
-    w, rows, cols, sims = books.shape[2], [], [], []
-    step = max(1, min(4_000_000 // len(p), 256_000 // keep))
-    for i in range(0, len(q), step):
-        s = np.zeros((min(step, len(q) - i), len(p)), np.float32)  # the centroid's part is the same for all points of the list
-        if keep < len(p):
-            for m, book in enumerate(books):
-                table = q32[i : i + step, m * w : (m + 1) * w] @ book.T
-                s += table[:, codes[:, m]]
-            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+    q32, p32 = q.astype(np.float32), p.astype(np.float32)
+    keep, few = min(max(RERANK, k + 1, len(p) // SHARE), len(p)), min(4 * k, len(p))
+    codes = encode(p32 - centroid, books) if keep < len(p) else None
+    rows, cols, sims = [], [], []
+    for i in range(0, len(q), TOGETHER):
+        some = q32[i : i + TOGETHER]
+        if codes is None:
+            top = np.broadcast_to(np.arange(len(p)), (len(some), len(p)))
         else:
-            top = np.broadcast_to(np.arange(len(p)), s.shape)
-        exact = np.einsum("qd,qkd->qk", q[i : i + step], p[top])
-        exact[top == own[i : i + step, None]] = -2
+            # the centroid's part of the score is the same for all points of the list
+            s = np.ascontiguousarray(adc(some, books, codes).T)
+            top = np.argpartition(s, len(p) - keep, axis=1)[:, len(p) - keep :]
+        near = np.matmul(p32[top], some[:, :, None])[:, :, 0]  # exact but for single precision; of the best few the whole
+        near[top == own[i : i + TOGETHER, None]] = -2
+        if few < top.shape[1]:
+            top = np.take_along_axis(top, np.argpartition(near, top.shape[1] - few, axis=1)[:, -few:], 1)
+        exact = np.einsum("qd,qkd->qk", q[i : i + TOGETHER], p[top])
+        exact[top == own[i : i + TOGETHER, None]] = -2
         best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        rows.append(np.repeat(np.arange(i, i + len(s)), best.shape[1]))
+        rows.append(np.repeat(np.arange(i, i + len(some)), best.shape[1]))
         cols.append(np.take_along_axis(top, best, 1).ravel())
         sims.append(np.take_along_axis(exact, best, 1).ravel())
-    r, c, s = map(np.concatenate, (rows, cols, sims))
+    r, c, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, sims))
     ok = s > -2
     return r[ok], c[ok], s[ok]
 
 
+def search_divided(queries: np.ndarray, points: np.ndarray, centroid: np.ndarray, books: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``search_list``; a list of more than PART points is divided by centroids of its own, of which each query searches a few.
+
+    So the work for a query doesn't grow with the list. Parts hold a quarter of PART on
+    average, and twice PROBES of them are searched.
+    """
+    if len(points) <= PART:
+        return search_list(queries, points, centroid, books, own, k)
+    p32, q32 = unit(points).astype(np.float32), unit(queries).astype(np.float32)
+    rng = np.random.default_rng(len(points))
+    n = -(-len(points) // (PART // 4))
+    cents = kmeans(p32[rng.choice(len(p32), min(len(p32), 64 * n), replace=False)], n, True, rng)
+    home, near = nearest(p32, cents, 1, True)[:, 0], nearest(q32, cents, 2 * PROBES, True)
+    out: list[tuple] = []
+    for part in range(n):
+        at, asked = np.flatnonzero(home == part), np.flatnonzero((near == part).any(axis=1))
+        if len(at) and len(asked):
+            place = np.full(len(points) + 1, -1)
+            place[at] = np.arange(len(at))
+            r, c, s = search_list(queries[asked], points[at], centroid, books, place[own[asked]], k)
+            out.append((asked[r], at[c], s))
+    r, c, s = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((-s, r))
+    r, c, s = r[order], c[order], s[order]
+    first = np.r_[True, r[1:] != r[:-1]]
+    rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+    return r[rank < k], c[rank < k], s[rank < k]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
@@ -205,7 +255,7 @@ def _search(shared, dim: int, k: int, least: float | None):
         else:
             own = np.full(len(x), -1)
             own[at] = np.arange(len(at))
-            r, c, s = search_list(x, x[at], index.centroids[group.column("list")[0].as_py()], index.books, own, k)
+            r, c, s = search_divided(x, x[at], index.centroids[group.column("list")[0].as_py()], index.books, own, k)
             if least is not None:
                 near = s >= least
                 r, c, s = r[near], c[near], s[near]
@@ -246,6 +296,8 @@ def most_similar(df: DataFrame, key: str, vector: str, version: str | None = Non
     rest = vectors.join(many, "same", "left_semi").join(first.select("key"), "key", "left_anti")
     copies = rest.select("key", "same").join(first.filter(F.col("n") <= k).select(F.col("key").alias("neighbour"), "same"), "same").select("key", "neighbour", F.lit(1.0).alias("similarity"))
     placed = core.select("key", "v", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)).alias("part")).mapInArrow(_assign(shared, dim, probes), "list int, block int, key string, stored boolean, vec binary")
+    bytes_ = total * min(probes, len(shared.value.centroids)) * (4 * dim + 64)
+    placed = placed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // TASK_BYTES)), "list", "block")
     hits = placed.groupBy("list", "block").applyInArrow(_search(shared, dim, k, least), schema)
     order = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
     best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -217,6 +217,26 @@ def test_neighbours_of_many_lists(spark):
     assert np.mean([t in got[q] for q, ts in zip(asked.tolist(), true.tolist()) for t in ts]) >= 0.9
 
 
+def test_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(4)
+    books, codes, q = rng.normal(size=(16, 256, 4)).astype(np.float32), rng.integers(0, 256, (50, 16)), rng.normal(size=(7, 64)).astype(np.float32)
+    decoded = books[np.arange(16), codes].reshape(50, 64)
+    assert np.allclose(neighbours.adc(q, books, codes), decoded @ q.T, atol=1e-4)
+
+
+def test_a_list_over_the_size_is_divided():
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(30_000, 10)) @ rng.normal(size=(10, 64)) + 0.3 * rng.normal(size=(30_000, 64))).astype(np.float32)
+    index = neighbours.fit(x[:6000], 1)
+    asked = np.arange(0, len(x), 100)
+    r, c, _ = neighbours.search_divided(x[asked].astype(float), x.astype(float), index.centroids[0], index.books, asked, 5)
+    u = neighbours.unit(x)
+    sims = u[asked] @ u.T
+    sims[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-sims, axis=1)[:, :5]
+    assert np.bincount(r).max() == 5 and np.mean([len(set(c[r == i]) & set(t)) / 5 for i, t in enumerate(true)]) >= 0.9
+
+
 # 6 -------------------------------------------------------------------------------------------
 
 
