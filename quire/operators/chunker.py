@@ -471,7 +471,7 @@ class Packer:
                         text = f"{a.text}\n\n{b.text}"
                         if self.count(text) <= o.max_tokens:
                             ds[min(i, j) : max(i, j) + 1] = [Draft(text, a.kind if a.kind == b.kind else "mixed", _prefix_path([a.path, b.path]), min(a.first, b.first), max(a.last, b.last), a.group)]
-                            i = -1
+                            i = max(-1, min(i, j) - 2)  # the joined one, and the one before it, are looked at again
                             break
             i += 1
         for a, b in zip(ds, ds[1:]):
@@ -506,16 +506,17 @@ def _per_document(rows_of, key_type: pa.DataType, names: list[str], types: list[
     return run
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+def chunk_documents(docs: DataFrame, key: str, text: str, options: Options = Options(), count: Count = estimate) -> DataFrame:  # noqa: B008
     """Chunks with content-hash ids, breadcrumbs, page ranges and links to their neighbours' order.
 
-    Null and empty documents have no chunks.
+    ``count`` is the tokenizer limits are in, by default the estimate. Null and empty
+    documents have no chunks.
     """
     o = options.checked()
 
     def rows_of(t: str):
-        for i, d in enumerate(chunk_markdown(t, o)):
-            yield i, d.text, d.overlap, d.kind, list(d.path), d.first, d.last, d.kept, estimate(d.text)
+        for i, d in enumerate(chunk_markdown(t, o, count)):
+            yield i, d.text, d.overlap, d.kind, list(d.path), d.first, d.last, d.kept, count(d.text)
 
     strings = pa.list_(pa.string())
     types = [pa.int32(), pa.string(), pa.string(), pa.string(), strings, pa.int32(), pa.int32(), pa.bool_(), pa.int32()]

@@ -56,8 +56,8 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFr
     return wanted.join(cache.select(*keys).distinct(), keys, "left_anti")
 
 
-def batches(rows: DataFrame, group: str | None, order: list[str], size: int) -> DataFrame:
-    """Adds batch: rows of a group in runs of ``size``. Without a group, numbers follow a two-level count, not one task's sort."""
+def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """Adds batch: rows of a group in runs of ``size``."""
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / size))
 
 
@@ -78,3 +78,35 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def merged_type(a: Column, b: Column) -> Column:
     return F.when(a == b, a).otherwise(F.lit("mixed"))
+
+
+def byte_batches(rows: DataFrame, group: str, order: list[str], bytes_: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """Adds batch: rows of a group in order, a new batch where the next row would exceed either limit; a larger row is alone."""
+    w = Window.partitionBy(group).orderBy(*order)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(bytes_, F.lit(0)).cast("long").alias("b")))), lambda x: x["b"])
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, b: Column) -> Column:
+        new = (s["n"] > 0) & ((s["n"] >= most_rows) | (s["size"] + b > most_bytes))
+        number = F.when(new, s["batch"] + 1).otherwise(s["batch"])
+        return F.struct(F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, b).otherwise(s["size"] + b).alias("size"), number.alias("batch"), F.concat(s["out"], F.array(number)).alias("out"))
+
+    per_group = rows.groupBy(group).agg(F.aggregate(listed, start, step)["out"].alias("_batches"))
+    return rows.withColumn("_n", F.row_number().over(w)).join(per_group, group).withColumn("batch", F.element_at("_batches", F.col("_n"))).drop("_n", "_batches")
+
+
+def format_chunk(key: Column, source: Column, first: Column, last: Column, path: Column, context: Column, raw: Column) -> Column:
+    """A chunk as it is cited: id, source, pages and place, then its context and its text."""
+    pages = F.when(first == last, F.concat(F.lit("page "), first.cast("string"))).otherwise(F.concat(F.lit("pages "), first.cast("string"), F.lit("-"), last.cast("string")))
+    place = F.when(F.size(path) > 0, F.concat(F.lit(" — "), F.array_join(path, " › "))).otherwise("")
+    said = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("Context: "), context, F.lit("\n"))).otherwise("")
+    return F.concat(F.lit("["), key, F.lit("] "), F.coalesce(source, F.lit("")), F.lit(", "), pages, place, F.lit("\n"), said, F.coalesce(raw, F.lit("")))
+
+
+def page_text(pages: DataFrame, document: str, page: int, by: str = "document_id") -> str:
+    """One page's text for a reader, by the document's id or another column that names it. Raises LookupError for what there isn't."""
+    found = pages.filter(F.col(by) == document)
+    r = found.filter(F.col("page_number") == page).select("markdown").limit(1).collect()
+    if r:
+        return r[0][0] or "(no text on this page)"
+    raise LookupError(f"page {page} not found" if not found.isEmpty() else f"unknown document: {document}")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +37,32 @@ def join_pages(pages: DataFrame, key: str) -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", one.alias("s")))), lambda x: x["s"]), "\n\n").alias("markdown"))
 
 
+#: Rules of a page's text, in order: (pattern, replacement).
+_IMAGES = ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"(?m)^[ \t]+$", ""), (r"\n{3,}", "\n\n"))
+_UNFENCED = ((r"(?is)\A\s*```(?:markdown|md)?[^\S\n]*\n(.*?)\n```\s*\z", "$1"), (_MARKER, ""), (r"\r\n?", "\n"))
+_BLANKS = ((r"[ \t]+(?=\n|\z)", ""), (r"\n{3,}", "\n\n"), (r"\A\s+|\s+\z", ""))
+_LINE = ((r"^#+\s*", ""), (r"[*_`]", ""), (r"\s+", " "), (r"^ | $", ""))
+
+
+def _by_rules(text: Column, *rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, to in (r for rs in rules for r in rs):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
 def strip_images(text: Column) -> Column:
-    t = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", "")
-    return F.regexp_replace(F.regexp_replace(t, r"(?m)^[ \t]+$", ""), r"\n{3,}", "\n\n")
+    """Images gone, with the blank lines they leave."""
+    return _by_rules(text, _IMAGES)
 
 
 def clean_page(text: Column, images: bool = True) -> Column:
     """An answer's fence unwrapped, markers and trailing blanks gone, one blank line at most; images gone unless kept."""
-    t = F.regexp_replace(text, r"(?is)\A\s*```(?:markdown|md)?[^\S\n]*\n(.*?)\n```\s*\z", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, _MARKER, ""), r"\r\n?", "\n")
-    if images:
-        t = strip_images(t)
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+(?=\n|\z)", ""), r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    return _by_rules(text, _UNFENCED, _IMAGES if images else (), _BLANKS)
 
 
 def normalize_line(line: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(line, r"^#+\s*", ""), r"[*_`]", "")
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    """A line as running lines are compared: without heading signs and emphasis, single blanks, lower case."""
+    return F.lower(_by_rules(line, _LINE))
 
 
 def edge_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
@@ -94,24 +106,85 @@ def without_running_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
     return out.join(whole, [key, "page_number"]).select(key, "page_number", F.when(F.col("removed") > 0, body).otherwise(F.coalesce("whole", F.lit(""))).alias("markdown"), "removed")
 
 
+_FENCE = re.compile(r"\s{0,3}(```|~~~)")
+_PAGE_LINE = re.compile(r"<!--\s*page\s+(\d+)\s*-->", re.I)
+_HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*")
+
+
+def headings_in(text: str) -> list[tuple[int, int, str, int]]:
+    """(line, level, title, page) of a text's headings outside fences; a fence ends with its own kind."""
+    out, fence, page = [], "", 1
+    for i, line in enumerate(text.split("\n")):
+        if m := _FENCE.match(line):
+            fence = m.group(1) if not fence else "" if fence == m.group(1) else fence
+        elif not fence:
+            if m := _PAGE_LINE.fullmatch(line.strip()):
+                page = int(m.group(1))
+            elif m := _HEADING.fullmatch(line):
+                out.append((i, len(m.group(1)), m.group(2).strip(), page))
+    return out
+
+
 def headings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, level, title, page): ATX headings outside fences of either kind, with the page of the marker before."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "t"))
-    return _headings(lines, key)
-
-
-def _headings(lines: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("line")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.regexp_extract("t", r"^\s{0,3}(```|~~~)", 1)
-    # one kind of fence at a time is open: parity of the first kind that opened, segment by segment
-    marks = lines.withColumn("f", fence).withColumn("page", F.when(F.trim("t").rlike(r"(?i)^<!--\s*page\s+\d+\s*-->$"), F.regexp_extract("t", r"(\d+)", 1).cast("int")))
-    fences = F.collect_list(F.when(F.col("f") != "", F.col("f"))).over(before)
-    state = F.aggregate(fences, F.lit(""), lambda s, f: F.when(s == "", f).when(s == f, "").otherwise(s))
-    has = F.sum(F.when(F.col("f") != "", 1).otherwise(0)).over(Window.partitionBy(key))
-    open_ = marks.withColumn("open", F.when(has > 0, state).otherwise("")).withColumn("on", F.coalesce(F.last("page", ignorenulls=True).over(before), F.lit(1)))
-    h = r"^ {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$"
-    return open_.filter((F.col("open") == "") & (F.col("f") == "") & F.col("t").rlike(h)).select(key, "line", F.length(F.regexp_extract("t", h, 1)).alias("level"), F.trim(F.regexp_extract("t", h, 2)).alias("title"), F.col("on").alias("page"))
+    """(key, line, level, title, page): ATX headings outside fences of either kind, with the page of the marker before.
+
+    A document is one row and is read once, from top to bottom; nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *h) for i, t in enumerate(b.column(1).to_pylist()) if t for h in headings_in(t)]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int32(), pa.string(), pa.int32())))], [key, "line", "level", "title", "page"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, line int, level int, title string, page int")
+
+
+def with_levels(docs: DataFrame, changes: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, markdown): documents with the headings' levels of ``changes`` (key, line, new_level); level 0 is a paragraph.
+
+    Lines that are no headings, and levels beyond six, are left alone.
+    """
+    wanted = changes.filter("new_level BETWEEN 0 AND 6").groupBy(key).agg(F.collect_list(F.struct("line", "new_level")).alias("_changes"))
+    joined = docs.select(key, F.col(text).alias("_text")).join(wanted, key, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, changed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if t and changed:
+                    to, lines = {c["line"]: c["new_level"] for c in changed}, t.split("\n")
+                    for i, level, title, _ in headings_in(t):
+                        new = to.get(i, level)
+                        if new != level:
+                            lines[i] = f"{'#' * new} {title}" if new else title
+                    t = "\n".join(lines)
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "markdown"])
+
+    return joined.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, markdown string")
+
+
+def fixed_headings(docs: DataFrame, key: str, text: str, model=None) -> DataFrame:
+    """(key, markdown): levels by a model where there is one (see ``stages.heading_levels``), then numbered headings harmonised."""
+    found = headings(docs, key, text)
+    if model is not None:
+        from quire.operators.stages import heading_levels
+
+        asked = heading_levels(found.withColumnRenamed(key, "document_id"), model).withColumnRenamed("document_id", key)
+        found = found.join(asked, [key, "line"], "left").withColumn("old", F.col("level")).withColumn("level", F.coalesce("new_level", "level")).drop("new_level")
+    else:
+        found = found.withColumn("old", F.col("level"))
+    kept = found.filter("level > 0")
+    numbered = harmonized(kept, key).select(key, "line", F.col("new_level").alias("agreed"))
+    changes = found.join(numbered, [key, "line"], "left").select(key, "line", F.coalesce("agreed", "level").alias("new_level"), "old").filter("new_level <> old")
+    return with_levels(docs, changes, key, text)
+
+
+def extracted(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, markdown): a document of its pages: each cleaned, running lines removed (of three pages or more), joined under page markers."""
+    cleaned = pages.select(key, "page_number", clean_page(F.coalesce(text, F.lit(""))).alias("_clean"))
+    return join_pages(without_running_lines(cleaned, key, "_clean"), key)
 
 
 def harmonized(found: DataFrame, key: str) -> DataFrame:

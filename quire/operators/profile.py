@@ -48,20 +48,33 @@ def quality(blocks: DataFrame, pages: DataFrame, chunks: DataFrame, group: str,
         F.sum(F.when(prose & (visible >= 40) & (letter_share(F.col("text")) < 0.5), 1).otherwise(0)).alias("garbled_blocks"),
     )
     paged = pages.groupBy(group).agg(F.count("*").alias("pages"), F.sum(F.when(F.col("source") == "text-layer", 1).otherwise(0)).alias("text_pages"), F.sum(F.when(F.trim(F.regexp_replace(F.coalesce("markdown", F.lit("")), r"\s+", " ")) == "", 1).otherwise(0)).alias("empty_pages"))
+    # a table's cells from its rows; the line after the head divides, and holds no cell
+    rows = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$"))
+    cells = F.flatten(F.transform(rows, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.trim(c))))
+    sparse = (F.size(cells) >= 4) & (F.size(F.filter(cells, lambda c: c == "")) > SPARSE * F.size(cells))
+    captioned = F.coalesce("text", F.lit("")).rlike(r"!\[[^\]]*\S[^\]]*\]")
+    shown = blocks.groupBy(group).agg(
+        F.sum(F.when(F.col("kind") == "table", 1).otherwise(0)).alias("tables"),
+        F.sum(F.when((F.col("kind") == "table") & sparse, 1).otherwise(0)).alias("sparse_tables"),
+        F.sum(F.when(F.col("kind") == "figure", 1).otherwise(0)).alias("figures"),
+        F.sum(F.when((F.col("kind") == "figure") & captioned, 1).otherwise(0)).alias("captioned"),
+    )
     t = F.col("token_count")
     parts = chunks.groupBy(group).agg(F.count("*").alias("chunks"), F.sum(F.when(t < min_tokens, 1).otherwise(0)).alias("small"), F.sum(F.when(t > max_tokens, 1).otherwise(0)).alias("large"))
-    zero = ["headings", "max_depth", "long_headings", "level_jumps", "ocr_blocks", "low_confidence", "prose_blocks", "garbled_blocks", "chunks", "small", "large"]
-    all_ = paged.join(body, group, "left").join(heads, group, "left").join(parts, group, "left").na.fill(0, zero)
+    zero = ["headings", "max_depth", "long_headings", "level_jumps", "ocr_blocks", "low_confidence", "prose_blocks", "garbled_blocks", "tables", "sparse_tables", "figures", "captioned", "chunks", "small", "large"]
+    all_ = paged.join(body, group, "left").join(heads, group, "left").join(shown, group, "left").join(parts, group, "left").na.fill(0, zero)
     c = F.col
     flags = F.array_compact(
         F.array(
             F.when(c("empty_pages") > 0, "empty_pages"),
             F.when((c("ocr_blocks") > 0) & (c("low_confidence") > 0.1 * c("ocr_blocks")), "low_confidence"),
             F.when(c("garbled_blocks") > 0, "garbled"),
+            F.when(c("sparse_tables") > 0, "sparse_tables"),
             F.when(c("long_headings") > 0, "long_headings"),
             F.when(c("level_jumps") > 0, "level_jumps"),
             F.when(c("large") > 0, "large_chunks"),
             F.when((c("chunks") >= 10) & (c("small") > 0.1 * c("chunks")), "small_chunks"),
+            F.when(c("captioned") < c("figures"), "figures_without_caption"),
         )
     )
     return all_.withColumn("flags", F.array_join(flags, "|"))
@@ -91,9 +104,17 @@ def passages(pages: DataFrame, group: str, text: str) -> DataFrame:
     return good.select(group, "page_number", n.alias("n"), F.substring("b", 1, 2400).alias("passage"))
 
 
-def sampled(candidates: DataFrame, group: str, count: int) -> DataFrame:
-    """One passage of each of ``count`` equal slices, drawn by a hash; all where there are no more."""
-    size = candidates.groupBy(group).agg(F.max("n").alias("size"))
-    placed = candidates.join(size, group).withColumn("slice", F.floor(((F.col("n") - 1) * count + count - 1) / F.col("size")))
-    order = F.row_number().over(Window.partitionBy(group, "slice").orderBy(F.xxhash64("passage"), "n"))
-    return placed.withColumn("o", F.when(F.col("size") <= count, 1).otherwise(order)).filter("o = 1").drop("o", "slice", "size")
+def cached(rows: DataFrame, cache: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses): rows with the cache's value, and rows it has none for; a null value (an entry that can't be read) is a miss."""
+    known = cache.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(value).alias(value))
+    return rows.join(known, keys), rows.join(known, keys, "left_anti")
+
+
+def cleared(cache: DataFrame, namespace: str | None = None) -> DataFrame:
+    """The cache without one namespace, or empty."""
+    return cache.filter(F.col("namespace") != namespace) if namespace else cache.limit(0)
+
+
+def stable_key(*parts: Column) -> Column:
+    """SHA-256 of parts as JSON; structs and maps with their names in order, nulls left out of them."""
+    return F.sha2(F.concat_ws(",", *(F.coalesce(F.to_json(F.struct(p.alias("v"))), F.lit("null")) for p in parts)), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -9,44 +11,105 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import search_tokens
+from quire.functions.text import search_tokens, tokens_of
+from quire.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Bytes of query vectors that are sent to the workers at once; more go in blocks.
 QUERY_BYTES = 16 << 20
 
 
-class Bm25(NamedTuple):
-    """postings (pool, id, term, tf, dl), terms (pool, term, idf, df) and pools (pool, n, avgdl)."""
+#: Asked terms up to which these are sent to the workers; more are joined by a shuffle.
+SENT_TERMS = 500_000
+
 
-    postings: DataFrame
-    terms: DataFrame
-    pools: DataFrame
-    lengths: DataFrame
+class Bm25(NamedTuple):
+    """An index: docs holds one row a document (pool, id, dl, counts of its terms); without pools there is no column of that name."""
+
+    docs: DataFrame
+    keys: tuple[str, ...]
+
+    @property
+    def postings(self) -> DataFrame:
+        """(pool, id, dl, term, tf)"""
+        return self.docs.select(*self.keys, "id", "dl", F.explode("counts").alias("c")).select(*self.keys, "id", "dl", "c.term", "c.tf")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.docs.select(*self.keys, "id", "dl")
+
+    @property
+    def pools(self) -> DataFrame:
+        """(pool, n, avgdl), one row a pool."""
+        return self.docs.groupBy(*self.keys).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+    def with_stats(self, rows: DataFrame) -> DataFrame:
+        """Rows with n and avgdl of their pool; without pools these are two numbers."""
+        if self.keys:
+            return rows.join(self.pools, list(self.keys))
+        r = self.pools.first()
+        return rows.withColumn("n", F.lit(int(r["n"]))).withColumn("avgdl", F.lit(float(r["avgdl"] or 0.0)))
+
+    @property
+    def terms(self) -> DataFrame:
+        """(pool, term, df, idf)"""
+        return self.idf(self.postings.groupBy(*self.keys, "term").agg(F.count("*").alias("df"))).select(*self.keys, "term", "df", "idf")
+
+    def idf(self, frequencies: DataFrame) -> DataFrame:
+        n, df = F.col("n"), F.col("df")
+        return self.with_stats(frequencies).withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5)))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts as numbers of their tokens and counts of their terms."""
+    for batch in batches:
+        names, times, ends, lengths = [], [], [0], []
+        for t in batch.column(batch.num_columns - 1).to_pylist():
+            counted = Counter(tokens_of(t))
+            names += counted
+            times += counted.values()
+            ends.append(len(names))
+            lengths.append(counted.total())
+        counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int32())], ["term", "tf"]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lengths, pa.int64()), counts], [*batch.schema.names[:-1], "dl", "counts"])
+
+
+def _tokenised(rows: DataFrame) -> DataFrame:
+    """Rows whose last column is a text, with dl and counts instead."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + ", dl long, counts array<struct<term:string,tf:int>>"
+    return rows.mapInArrow(_counts, schema)
 
 
 def bm25_index(docs: DataFrame, key: str, text: Column, pool: Column | None = None) -> Bm25:
     """Index of a collection, or of one collection for each pool (statistics never cross pools).
 
-    Texts without tokens, null ones too, count in the average length with length 0.
+    One row is one document. Texts without tokens, null ones too, count in the average length
+    with length 0. The index is written once; what reads it doesn't tokenise again.
     """
-    base = docs.select((pool if pool is not None else F.lit(0)).alias("pool"), F.col(key).alias("id"), search_tokens(text).alias("tokens"))
-    counted = base.select("pool", "id", F.explode_outer("tokens").alias("term")).groupBy("pool", "id", "term").agg(F.count("term").alias("tf"))
-    lengths = counted.groupBy("pool", "id").agg(F.sum("tf").alias("dl"))
-    pools = lengths.groupBy("pool").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    real = counted.filter("term IS NOT NULL")
-    n, df = F.col("n"), F.col("df")
-    terms = real.groupBy("pool", "term").agg(F.count("*").alias("df")).join(pools, "pool").select("pool", "term", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
-    return Bm25(real, terms, pools, lengths)
-
-
-def bm25_scores(index: Bm25, queries: DataFrame, key: str, text: Column, pool: Column | None = None) -> DataFrame:
-    """(pool, query, id, score) for every document with a term of the query; only positive scores."""
-    asked = queries.select((pool if pool is not None else F.lit(0)).alias("pool"), F.col(key).alias("query"), F.explode(F.array_distinct(search_tokens(text))).alias("term"))
+    keys = () if pool is None else ("pool",)
+    rows = docs.select(*([] if pool is None else [pool.alias("pool")]), F.col(key).alias("id"), text.alias("body"))
+    return Bm25(cut(_tokenised(rows)), keys)
+
+
+def bm25_scores(index: Bm25, queries: DataFrame, key: str, text: Column, pool: Column | None = None, sent_terms: int = SENT_TERMS) -> DataFrame:
+    """(pool, query, id, score) for every document with a term of the query; only positive scores.
+
+    Asked terms meet the postings where these are, if they are few enough to be sent; each
+    task then adds up its documents' scores before anything is shuffled. Otherwise, and with
+    pools, the postings of asked terms are shuffled once by their term.
+    """
+    keys = list(index.keys)
+    rows = queries.select(*([pool.alias("pool")] if keys else []), F.col(key).alias("query"), text.alias("body"))
+    asked = cut(_tokenised(rows).select(*keys, "query", F.explode("counts.term").alias("term")).distinct())
+    few = not keys and asked.count() <= sent_terms
+    send = F.broadcast if few else lambda x: x
+    names = send(asked.select(*keys, "term").distinct())
+    df = index.postings.join(names, [*keys, "term"], "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    wanted = send(asked.join(index.idf(df), [*keys, "term"]))
     tf, dl = F.col("tf"), F.col("dl")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    hits = asked.join(index.terms, ["pool", "term"]).join(index.postings, ["pool", "term"]).join(index.lengths, ["pool", "id"]).join(index.pools, "pool")
-    return hits.groupBy("pool", "query", "id").agg(F.sum(weight).alias("score")).filter("score > 0")
+    hits = index.postings.join(wanted, [*keys, "term"])
+    return hits.groupBy(*keys, "query", "id").agg(F.sum(weight).alias("score")).filter("score > 0")
 
 
 def ranked(scores: DataFrame, k: int | None, by: str = "score", keys: tuple[str, ...] = ("query",), tie: str = "id") -> DataFrame:
@@ -73,23 +136,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def vector_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int | None) -> DataFrame:
     """(query, id, score): the k best rows of each batch for each query (all with k None), for ``ranked`` to merge.
 
-    Queries are sent to the workers in blocks of QUERY_BYTES; each batch is one matrix
-    product. Rows of another size than the query's, null and empty ones are passed over.
+    Queries are sent to the workers in blocks of QUERY_BYTES, one after the other through the
+    driver, which never holds all; each batch is one matrix product. Rows of another size
+    than the query's, null and empty ones are passed over.
     """
-    rows = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).filter("v IS NOT NULL AND size(v) > 0").toArrow()
+    asked = cut(queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).filter("v IS NOT NULL AND size(v) > 0"))
     q_type, id_type = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
     schema = f"query {q_type}, id {id_type}, score double"
     spark, out = vectors.sparkSession, None
     cols = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL AND size(v) > 0")
-    by_size: dict[int, list[int]] = {}
-    for i, v in enumerate(rows.column("v").to_pylist()):
-        by_size.setdefault(len(v), []).append(i)
-    for size, at in by_size.items():
-        step = max(1, QUERY_BYTES // (8 * size))
-        for s in range(0, len(at), step):
-            part = rows.take(pa.array(at[s : s + step]))
-            q = _unit(np.array(part.column("v").to_pylist(), np.float64))
-            shared = spark.sparkContext.broadcast((part.column("q").combine_chunks(), q))
+    for size, n in asked.groupBy(F.size("v")).count().collect():  # a handful of sizes
+        blocks = -(-n * 8 * size // QUERY_BYTES)
+        for block in range(blocks):
+            rows = asked.filter((F.size("v") == size) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)).toArrow()
+            q = _unit(np.array(rows.column("v").to_pylist(), np.float64).reshape(-1, size))
+            shared = spark.sparkContext.broadcast((rows.column("q").combine_chunks(), q))
             got = cols.filter(F.size("v") == size).mapInArrow(_scored(shared, size, k), schema)
             out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], schema)
@@ -122,11 +183,42 @@ def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     return parts.groupBy("query", "id").agg(F.sum("part").alias("score"))
 
 
+def rerank_text(path: Column, context: Column, raw: Column, most: int = 4000) -> Column:
+    """What a reranker reads of a chunk: its place, its context and its text, a line each, cut at ``most`` characters."""
+    part = lambda c: F.when(c != "", c)
+    return F.substring(F.concat_ws("\n", part(F.array_join(path, " › ")), part(context), F.coalesce(raw, F.lit(""))), 1, most)
+
+
+#: Modes by what they need; the first a caller has what is needed for is the default.
+MODES = ("rerank", "hybrid", "vector", "bm25")
+
+
+def search_mode(mode: str | None, vectors: bool, query_vector: bool) -> str:
+    """The mode to search with: the one asked for, else hybrid where chunks and query have vectors, else bm25.
+
+    Raises ValueError for an unknown mode and for one that lacks its vectors.
+    """
+    if mode is None:
+        return "hybrid" if vectors and query_vector else "bm25"
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode in ("vector", "hybrid") and not (vectors and query_vector):
+        raise ValueError("vector search needs vectors of the chunks and of the query")
+    return mode
+
+
+def has_vectors(chunks: DataFrame, column: str = "embedding") -> bool:
+    """Whether all chunks have vectors of one size, not empty."""
+    size = F.coalesce(F.size(column), F.lit(0))
+    r = chunks.agg(F.min(size).alias("a"), F.max(size).alias("b")).first()
+    return bool(r["a"]) and r["a"] == r["b"] and r["a"] > 0
+
+
 def rerank(first: DataFrame, queries: DataFrame, query_text: Column, docs: DataFrame, doc_text: Column, scorer, k: int, candidates: int = 30) -> DataFrame:
     """(query, id, score, rank): the first stage's best max(k, candidates) rescored; ties keep the first stage's order.
 
     ``scorer`` maps two columns (query text, document text) to a score; the document's text
-    is cut at 4,000 characters, as a cross-encoder would.
+    (see ``rerank_text``) is cut at 4,000 characters, as a cross-encoder would.
     """
     pool = first.filter(F.col("rank") <= max(k, candidates)).select("query", "id", F.col("rank").alias("first_rank"))
     pairs = pool.join(queries.select(F.col("q").alias("query"), query_text.alias("qt")), "query").join(docs.select(F.col("d").alias("id"), F.substring(doc_text, 1, 4000).alias("dt")), "id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import excel, geometry, text
-from quire.operators import chunker, chunks, evaluation, metrics, pages, profile, retrieval
+from quire.operators import chunker, chunks, compose, evaluation, metrics, pages, positions, profile, retrieval, stages
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -158,7 +158,7 @@ def vector_label_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy(F.col("la").alias("label")).agg(F.count("*").alias("hits"), F.round(F.avg(F.when(F.col("la") == F.col("lb"), 1.0).otherwise(0.0)), 6).alias("same_label"))
 
 
-_HYBRID = _bm25("(SELECT doc_id, text FROM documents JOIN embeddings ON vec_id = doc_id)", "doc_id", "text", "(SELECT doc_id, substr(text, 1, 200) AS asked FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 = 0)", "doc_id", "asked")
+_HYBRID = _bm25("(SELECT doc_id, text FROM documents JOIN embeddings ON vec_id = doc_id)", "doc_id", "text", "(SELECT doc_id, text FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 = 0)", "doc_id", "text")
 
 
 @_query(
@@ -172,7 +172,7 @@ def hybrid_rrf_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs, e = _t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "embeddings").select("vec_id", "embedding")
     both = docs.join(e, docs["doc_id"] == e["vec_id"])
     asked = both.filter("doc_id % 50 = 0")
-    lexical = retrieval.ranked(retrieval.bm25_scores(retrieval.bm25_index(both, "doc_id", F.col("text")), asked, "doc_id", F.substring("text", 1, 200)), None)
+    lexical = retrieval.ranked(retrieval.bm25_scores(retrieval.bm25_index(both, "doc_id", F.col("text")), asked, "doc_id", F.col("text")), None)
     vector = retrieval.ranked(retrieval.vector_scores(both, "doc_id", "embedding", asked, "doc_id", "embedding", None), None)
     fused = retrieval.ranked(retrieval.rrf(lexical, vector), 10)
     return fused.select("query", "id", "rank", F.round("score", 6).alias("score"))
@@ -204,13 +204,22 @@ rel AS (SELECT query, min(rank) AS rank FROM m2 WHERE ev <> '' AND (contains(bod
 ranks AS (SELECT e.q AS question, coalesce(rel.rank, 0) AS rank FROM {_QUESTIONS} e LEFT JOIN rel ON rel.query = e.q)"""
 
 
-def _ranks(spark: SparkSession, sf: str) -> DataFrame:
+def _evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, questions, positive BM25 scores of each question's own document)"""
     body = _chunks(spark, sf, "document_id", "raw_content", "section_path", "context_summary")
     indexed = F.concat_ws("\n", F.array_join("section_path", " "), F.coalesce("context_summary", F.lit("")), "raw_content")
-    index = retrieval.bm25_index(body, "chunk_id", indexed, F.col("document_id"))
     questions = _questions(spark, sf)
-    hits = retrieval.ranked(retrieval.bm25_scores(index, questions, "q", F.col("question"), F.col("document_id")), 10).withColumn("mode", F.lit("bm25"))
-    return evaluation.first_ranks(hits, questions.withColumn("evidence", text.match_text("evidence")), body.select(F.col("chunk_id").alias("id"), text.match_text("raw_content").alias("text")))
+    index = retrieval.bm25_index(body, "chunk_id", indexed, F.col("document_id"))
+    return body, questions, retrieval.bm25_scores(index, questions, "q", F.col("question"), F.col("document_id"))
+
+
+def _first(hits: DataFrame, questions: DataFrame, body: DataFrame, modes: list[str]) -> DataFrame:
+    return evaluation.first_ranks(hits, questions.withColumn("evidence", text.match_text("evidence")), body.select(F.col("chunk_id").alias("id"), text.match_text("raw_content").alias("text")), modes)
+
+
+def _ranks(spark: SparkSession, sf: str) -> DataFrame:
+    body, questions, scores = _evaluated(spark, sf)
+    return _first(retrieval.ranked(scores, 10).withColumn("mode", F.lit("bm25")), questions, body, ["bm25"])
 
 
 @_query(f"WITH {_EVAL}, {_RANKS} SELECT question, rank FROM ranks")
@@ -224,17 +233,140 @@ def eval_hits_mrr(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.mode_metrics(_ranks(spark, sf))
 
 
-@_query()
+_METRICS = "count(*) AS questions, " + ", ".join(f"round(avg(CASE WHEN rank BETWEEN 1 AND {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_at_{k}" for k in (1, 3, 5, 10)) + ", round(sum(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0.0 END) / greatest(count(*), 1), 6) AS mrr"
+# first relevant ranks of hits h (mode, query, id, rank), as rr (mode, question, rank)
+_JUDGED = f"""
+m AS (SELECT h.mode, h.query, h.rank, {_MATCH.format("c.raw_content")} AS body, {_MATCH.format("e.evidence")} AS ev FROM h JOIN {_CHUNKS} c ON c.chunk_id = h.id JOIN {_QUESTIONS} e ON e.q = h.query),
+m2 AS (SELECT *, string_split(ev, ' ') AS w FROM m),
+rel AS (SELECT mode, query, min(rank) AS rank FROM m2 WHERE ev <> '' AND (contains(body, ev) OR (len(w) >= 6 AND (contains(body, array_to_string(w[1:CAST(ceil(len(w) * 0.6) AS INT)], ' ')) OR contains(body, array_to_string(w[len(w) - CAST(ceil(len(w) * 0.6) AS INT) + 1:], ' '))))) GROUP BY ALL),
+rr AS (SELECT x.mode, e.q AS question, coalesce(rel.rank, 0) AS rank FROM {_QUESTIONS} e CROSS JOIN (SELECT DISTINCT mode FROM h) x LEFT JOIN rel ON rel.query = e.q AND rel.mode = x.mode)"""
+_OVERLAP_CHUNKS = _OVERLAP.format(tokens=_tokens("(SELECT chunk_id AS id, substr(raw_content, 1, 4000) AS b4 FROM " + _CHUNKS + ")", "id", "b4"))
+_RERANK = "row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first_rank)"
+
+
+@_query(f"""WITH {_EVAL}, {_OVERLAP_CHUNKS},
+h AS (SELECT 'bm25' AS mode, query, id, {_RANK} AS rank FROM s QUALIFY rank <= 10 UNION ALL SELECT 'rerank', query, id, {_RERANK} AS rank FROM o QUALIFY rank <= 10), {_JUDGED},
+b AS (SELECT question, rank AS base FROM rr WHERE mode = 'bm25')
+SELECT mode, CAST(sum(CASE WHEN rank > 0 AND (base = 0 OR rank < base) THEN 1 ELSE 0 END) AS BIGINT) AS improved, CAST(sum(CASE WHEN base > 0 AND (rank = 0 OR rank > base) THEN 1 ELSE 0 END) AS BIGINT) AS regressed, round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END - CASE WHEN base > 0 THEN 1.0 / base ELSE 0 END), 6) AS delta_mrr FROM rr JOIN b USING (question) GROUP BY mode""")
 def eval_compare_modes(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over whole documents' pools against the same after reranking by token overlap."""
-    body = _chunks(spark, sf, "document_id", "raw_content", "section_path", "context_summary")
-    index = retrieval.bm25_index(body, "chunk_id", F.concat_ws("\n", F.array_join("section_path", " "), F.coalesce("context_summary", F.lit("")), "raw_content"), F.col("document_id"))
-    questions = _questions(spark, sf)
-    first = retrieval.ranked(retrieval.bm25_scores(index, questions, "q", F.col("question"), F.col("document_id")), 30)
+    body, questions, scores = _evaluated(spark, sf)
+    first = retrieval.ranked(scores, 30)
     second = retrieval.rerank(first, questions, F.col("question"), body.withColumnRenamed("chunk_id", "d"), F.col("raw_content"), retrieval.overlap_scorer, 10)
     hits = first.filter("rank <= 10").select(F.lit("bm25").alias("mode"), "query", "id", "rank").unionByName(second.select(F.lit("rerank").alias("mode"), "query", "id", "rank"))
-    ranks = evaluation.first_ranks(hits, questions.withColumn("evidence", text.match_text("evidence")), body.select(F.col("chunk_id").alias("id"), text.match_text("raw_content").alias("text")))
-    return evaluation.compare(ranks, "bm25")
+    return evaluation.compare(_first(hits, questions, body, ["bm25", "rerank"]), "bm25")
+
+
+_LETTERS = "aeoutnrs"
+_LETTER_VECTOR = "[" + ", ".join(f"CAST(length(lower({{0}})) - length(replace(lower({{0}}), '{c}', '')) AS DOUBLE)" for c in _LETTERS) + "]"
+
+
+@_query(f"""WITH {_EVAL}, {_OVERLAP_CHUNKS},
+cv AS (SELECT chunk_id, document_id, {_LETTER_VECTOR.format("coalesce(raw_content, '')")} AS v FROM {_CHUNKS}),
+qv AS (SELECT q, document_id, {_LETTER_VECTOR.format("coalesce(question, '')")} AS v FROM {_QUESTIONS}),
+vs AS (SELECT q AS query, chunk_id AS id, CASE WHEN list_sum(cv.v) > 0 AND list_sum(qv.v) > 0 THEN list_cosine_similarity(qv.v, cv.v) ELSE 0 END AS score FROM qv JOIN cv USING (document_id)),
+b AS (SELECT query, id, {_RANK} AS rank FROM s), w AS (SELECT query, id, {_RANK} AS rank FROM vs),
+f AS (SELECT query, id, sum(1 / (60.0 + rank)) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM w) GROUP BY ALL),
+h AS (SELECT 'bm25' AS mode, * FROM b WHERE rank <= 10 UNION ALL SELECT 'vector', * FROM w WHERE rank <= 10 UNION ALL SELECT 'hybrid', query, id, {_RANK} AS rank FROM f QUALIFY rank <= 10 UNION ALL SELECT 'rerank', query, id, {_RERANK} AS rank FROM o QUALIFY rank <= 10), {_JUDGED}
+SELECT mode, {_METRICS} FROM rr GROUP BY mode""")
+def eval_all_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """All modes over each question's own document; vectors by a rule, as no model is here."""
+    body, questions, scores = _evaluated(spark, sf)
+    lexical, embedder = retrieval.ranked(scores, None), stages.LetterEmbedder(_LETTERS)
+    none = spark.createDataFrame([], "cache_key string, vector array<double>")
+    of = lambda df, key, column, kind: df.select("document_id", F.col(key).alias("key")).join(stages.embedded(df, key, column, none, embedder, kind).select("key", "vector"), "key")
+    asked, held = of(questions, "q", "question", "query").toDF("query", "document_id", "qv"), of(body, "chunk_id", "raw_content", "document").toDF("id", "document_id", "cv")
+    near = asked.join(held, "document_id").select("query", "id", retrieval.cosine(F.col("qv"), F.col("cv")).alias("score"))
+    vector = retrieval.ranked(near, None)
+    hybrid = retrieval.ranked(retrieval.rrf(lexical, vector), 10)
+    again = retrieval.rerank(lexical, questions, F.col("question"), body.withColumnRenamed("chunk_id", "d"), F.col("raw_content"), retrieval.overlap_scorer, 10)
+    modes = {"bm25": lexical, "vector": vector, "hybrid": hybrid, "rerank": again}
+    hits = None
+    for mode, df in modes.items():
+        one = df.filter("rank <= 10").select(F.lit(mode).alias("mode"), "query", "id", "rank")
+        hits = one if hits is None else hits.unionByName(one)
+    return evaluation.mode_metrics(_first(hits, questions, body, list(modes)))
+
+
+_WORDS3 = "list_filter(string_split_regex(lower(nfc_normalize(coalesce({}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3)"
+
+
+@_query(f"""WITH e AS (SELECT q, document_id, page, {_WORDS3.format("evidence")} AS ew FROM {_QUESTIONS}), c AS (SELECT chunk_id, document_id, page_start, page_end, {_WORDS3.format("raw_content")} AS cw FROM {_CHUNKS})
+SELECT q AS question, chunk_id FROM e JOIN c USING (document_id) WHERE page_start <= page + 1 AND page_end >= page - 1 AND len(cw) > 0 AND len(ew) > 0 AND (len(list_filter(ew, lambda w: list_contains(cw, w))) >= 0.5 * len(ew) OR (len(cw) >= 20 AND len(list_filter(cw, lambda w: list_contains(ew, w))) >= 0.7 * len(cw)))""")
+def evidence_by_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks near a question's page that hold half of the evidence's words, or are made of them."""
+    q = _t(spark, sf, "eval_questions").groupBy("document_id", "question_id").agg(F.max_by("evidence", "ingested_at").alias("evidence"), F.max_by("page", "ingested_at").alias("page"))
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
+    e = q.select(F.concat_ws("#", "document_id", F.col("question_id").cast("string")).alias("question"), "document_id", "page", words("evidence").alias("ew"))
+    c = _chunks(spark, sf, "document_id", "page_start", "page_end", "raw_content").select("chunk_id", "document_id", "page_start", "page_end", words("raw_content").alias("cw"))
+    near = e.join(c, "document_id").filter(evaluation.page_near(F.col("page_start"), F.col("page_end"), F.col("page")))
+    return near.filter(evaluation.word_relevance(F.col("cw"), F.col("ew"))).select("question", "chunk_id")
+
+
+_RERANK_TEXT = "substr(concat_ws(chr(10), nullif(array_to_string(section_path, ' › '), ''), nullif(context_summary, ''), coalesce(raw_content, '')), 1, 4000)"
+
+
+@_query(f"SELECT chunk_id, sha256({_RERANK_TEXT}) AS text_hash FROM {_CHUNKS}")
+def rerank_texts(spark: SparkSession, sf: str) -> DataFrame:
+    c = _chunks(spark, sf, "section_path", "context_summary", "raw_content")
+    return c.select("chunk_id", F.sha2(retrieval.rerank_text(F.col("section_path"), F.col("context_summary"), F.col("raw_content")), 256).alias("text_hash"))
+
+
+# ------------------------------------------------------------------ model steps, by rule
+
+
+_FIT = "(coalesce(must_preserve, false) OR NOT (length(t) < 40 OR len(regexp_extract_all(t, '[\\p{L}\\p{N}]')) < 0.45 * length(t)))"
+
+
+@_query(f"""WITH c AS (SELECT chunk_id, document_id, coalesce(raw_content, '') AS raw, coalesce(array_to_string(section_path, ' > '), '') AS section, must_preserve, trim(regexp_replace(coalesce(raw_content, ''), '\\s+', ' ', 'g')) AS t, coalesce(lag(coalesce(raw_content, '')) OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id), '') AS before FROM {_CHUNKS}),
+k AS (SELECT *, {_FIT} AS fit FROM c), en AS (SELECT DISTINCT section, raw, before FROM k WHERE fit AND document_id IN (SELECT document_id FROM corpus WHERE doc_language = 'en'))
+SELECT k.chunk_id, CASE WHEN fit THEN trim('In ' || coalesce(nullif(k.section, ''), 'the document') || ': ' || substr(t, 1, 80)) END AS summary, CASE WHEN NOT fit THEN 'skipped' WHEN en.raw IS NULL THEN 'new' ELSE 'cached' END AS state FROM k LEFT JOIN en ON en.section = k.section AND en.raw = k.raw AND en.before = k.before""")
+def context_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts of all chunks with a cache that holds those of the documents labelled ``en``; batches with a table fail and are halved."""
+    c, model = _chunks(spark, sf, "document_id", "chunk_index", "raw_content", "section_path", "must_preserve"), stages.RuleModel(bad="|")
+    empty = spark.createDataFrame([], "key string, value string")
+    english = c.join(_t(spark, sf, "corpus").filter("doc_language = 'en'").select("document_id"), "document_id", "left_semi")
+    cache = stages.enriched(english, empty, model).filter("state = 'new'").select("key", F.col("summary").alias("value"))
+    return stages.enriched(c, cache, model).select("chunk_id", "summary", "state")
+
+
+@_query(f"""WITH t AS (SELECT chunk_id, coalesce(raw_content, '') AS t FROM {_CHUNKS}), v AS (SELECT chunk_id, t, {_LETTER_VECTOR.format("t")} AS v FROM t), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
+SELECT chunk_id, round(CASE WHEN n > 0 THEN v[1] / n ELSE 0 END, 6) AS first, round(CASE WHEN n > 0 THEN list_sum(v) / n ELSE 0 END, 5) AS total, t IN (SELECT t FROM t WHERE length(t) > 400 AND t <> '') AS cached FROM n WHERE t <> ''""")
+def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of all chunks with a cache that holds those of the long ones; each text is embedded once."""
+    c, embedder = _chunks(spark, sf, "raw_content"), stages.LetterEmbedder(_LETTERS, max_tokens=1_000_000)
+    keyed = c.filter("length(raw_content) > 400").select(F.sha2(F.concat_ws("\x1f", F.lit(embedder.ref), F.lit("document"), F.sha2("raw_content", 256)), 256).alias("cache_key"), "raw_content").dropDuplicates(["cache_key"])
+    empty = spark.createDataFrame([], "cache_key string, vector array<double>")
+    cache = keyed.join(stages.embedded(keyed, "cache_key", "raw_content", empty, embedder).withColumnRenamed("key", "cache_key"), "cache_key").select("cache_key", "vector")
+    got = stages.embedded(c, "chunk_id", "raw_content", cache, embedder).filter("size(vector) > 0")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return got.select(F.col("key").alias("chunk_id"), F.round(F.element_at("vector", 1), 6).alias("first"), F.round(total, 5).alias("total"), "cached")
+
+
+@_query()
+def section_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries of sections with several chunks, and each document's prefix made of them."""
+    model = stages.RuleModel()
+    md = _markdown(spark, sf)
+    blocks = chunker.block_table(md, "document_id", "markdown")
+    parts = stages.sections(blocks)
+    by_section = blocks.select("document_id", "section")  # a section of several blocks counts as one of several chunks
+    notes = stages.section_summaries(parts, by_section, model, 16_000)
+    return stages.document_prefixes(parts, notes, model, 16_000)
+
+
+@_query()
+def generated_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to five passages a document, drawn from equal slices, and a question on each whose evidence is in it."""
+    found = profile.passages(_pages(spark, sf), "document_id", "markdown")
+    return stages.questions_of(evaluation.sampled_passages(found, "document_id", 5), stages.RuleModel())
+
+
+@_query("SELECT coalesce(content_type, 'other') AS stage, count(*) AS requests, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens FROM chunks GROUP BY ALL UNION ALL SELECT 'total', count(*), CAST(coalesce(sum(token_count), 0) AS BIGINT) FROM chunks")
+def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests and tokens a kind of chunk, and over all."""
+    used = _t(spark, sf, "chunks").select(F.col("content_type").alias("stage"), F.lit(1).alias("requests"), F.col("token_count").alias("tokens"))
+    return stages.usage_totals(used, "stage", "requests", "tokens")
 
 
 # ------------------------------------------------------------------ chunks, upserts, caches
@@ -377,24 +509,74 @@ def garbled_pages(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).filter(text.is_garbled(F.col("markdown"))).select("document_id", "page_number")
 
 
-@_query()
+_OUTLINE = f"""l AS (SELECT document_id, unnest(string_split(markdown, chr(10))) AS t, unnest(range(len(string_split(markdown, chr(10))))) AS line FROM {_MARKDOWN} WHERE markdown IS NOT NULL),
+k AS (SELECT *, regexp_extract(t, '^\\s{{0,3}}(```|~~~)', 1) AS f FROM l),
+o AS (SELECT *, list(f) FILTER (WHERE f <> '') OVER (PARTITION BY document_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fs FROM k),
+p AS (SELECT *, CASE WHEN fs IS NULL THEN '' ELSE list_reduce(list_prepend('', fs), lambda s, x: CASE WHEN s = '' THEN x WHEN s = x THEN '' ELSE s END) END AS open FROM o),
+g AS (SELECT *, CASE WHEN open = '' AND f = '' AND regexp_full_match(trim(t), '(?i)<!--\\s*page\\s+[0-9]+\\s*-->') THEN CAST(regexp_extract(t, '([0-9]+)', 1) AS INT) END AS pg FROM p),
+q AS (SELECT *, coalesce(last_value(pg IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS page FROM g),
+hd AS (SELECT document_id, CAST(line AS INT) AS line, length(regexp_extract(t, '^ {{0,3}}(#{{1,6}})[ \\t]+', 1)) AS level, trim(regexp_extract(t, '^ {{0,3}}#{{1,6}}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$', 1)) AS title, page FROM q WHERE open = '' AND f = '' AND regexp_matches(t, '^ {{0,3}}#{{1,6}}[ \\t]+.+?[ \\t]*#*[ \\t]*$'))"""
+
+
+@_query(f"WITH {_OUTLINE} SELECT * FROM hd")
 def heading_outline(spark: SparkSession, sf: str) -> DataFrame:
     return pages.headings(_markdown(spark, sf), "document_id", "markdown")
 
 
-@_query()
+@_query(f"""WITH {_OUTLINE}, nk AS (SELECT *, sum(CASE WHEN level <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY line) AS k FROM hd),
+d AS (SELECT document_id, line, level, CASE WHEN level <= 2 THEN 1 ELSE 2 END AS depth FROM nk),
+v AS (SELECT document_id, depth, level, count(*) AS n FROM d GROUP BY ALL),
+b AS (SELECT document_id, depth, sum(n) AS size, arg_max(level, n * 10 - level) AS vote FROM v GROUP BY ALL),
+w AS (SELECT b.*, coalesce(o.vote, 0) AS previous FROM b LEFT JOIN b o ON o.document_id = b.document_id AND o.depth = 1 AND b.depth = 2)
+SELECT d.document_id, d.line, d.level, CASE WHEN w.size < 2 THEN d.level WHEN w.vote <= w.previous THEN least(6, w.previous + 1) ELSE w.vote END AS new_level FROM d JOIN w USING (document_id, depth)""")
 def harmonize_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.harmonized(pages.headings(_markdown(spark, sf), "document_id", "markdown"), "document_id")
+    """Levels of headings agreed by their numbers; the tables' headings have none, so they are numbered in order first."""
+    found = pages.headings(_markdown(spark, sf), "document_id", "markdown")
+    major = F.sum(F.when(F.col("level") <= 2, 1).otherwise(0)).over(Window.partitionBy("document_id").orderBy("line"))
+    numbered = found.withColumn("k", major).withColumn("j", F.row_number().over(Window.partitionBy("document_id", "k").orderBy("line")))
+    number = F.when(F.col("level") <= 2, F.col("k").cast("string")).otherwise(F.concat_ws(".", F.col("k").cast("string"), F.col("j").cast("string")))
+    return pages.harmonized(numbered.withColumn("title", F.concat_ws(" ", number, "title")).drop("k", "j"), "document_id")
+
+
+@_query()
+def fixed_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with headings by a model's levels, numbered ones harmonised."""
+    return pages.fixed_headings(_markdown(spark, sf), "document_id", "markdown", stages.RuleModel()).select("document_id", F.sha2("markdown", 256).alias("document_hash"))
+
+
+@_query(f"WITH {_OUTLINE}, n AS (SELECT document_id, line, level FROM hd) SELECT document_id, sha256(array_to_string(list(CASE WHEN n.level IS NULL OR n.level = 6 THEN l.t ELSE '#' || repeat('#', CAST(n.level AS INT)) || ' ' || hd.title END ORDER BY l.line), chr(10))) AS document_hash FROM l LEFT JOIN n USING (document_id, line) LEFT JOIN hd USING (document_id, line) GROUP BY document_id")
+def demoted_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every heading a level lower, those of level six kept: new levels written back into the text."""
+    md = _markdown(spark, sf).filter("markdown IS NOT NULL")
+    lower = pages.headings(md, "document_id", "markdown").select("document_id", "line", (F.col("level") + 1).alias("new_level"))
+    return pages.with_levels(md, lower, "document_id", "markdown").select("document_id", F.sha2("markdown", 256).alias("document_hash"))
 
 
-@_query(f"SELECT p.document_id, p.page_number, length(markdown) AS characters FROM {_PAGES} p")
+@_query()
+def extracted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents made of their cleaned pages without running lines."""
+    return pages.extracted(_pages(spark, sf), "document_id", "markdown").select("document_id", F.sha2("markdown", 256).alias("document_hash"))
+
+
+@_query(f"SELECT c.file_name, p.document_id, p.page_number, coalesce(nullif(p.markdown, ''), '(no text on this page)') AS text FROM {_PAGES} p JOIN corpus c USING (document_id)")
 def get_page(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).select("document_id", "page_number", F.length("markdown").alias("characters"))
+    """Every page as a reader gets it, under its document's name and id."""
+    names = _t(spark, sf, "corpus").select("document_id", "file_name")
+    return _pages(spark, sf).join(names, "document_id").select("file_name", "document_id", "page_number", F.coalesce(F.nullif("markdown", F.lit("")), F.lit("(no text on this page)")).alias("text"))
 
 
-@_query(f"SELECT c.document_id, count(*) AS chunks, max(c.page_end) AS last_page FROM {_CHUNKS} c GROUP BY c.document_id")
+@_query(f"SELECT d.document_id, d.doc_name, d.page_count AS pages, count(c.chunk_id) AS chunks FROM corpus d LEFT JOIN {_CHUNKS} c USING (document_id) GROUP BY ALL")
 def list_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf, "document_id", "page_end").groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("page_end").alias("last_page"))
+    counts = _chunks(spark, sf, "document_id").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return _t(spark, sf, "corpus").select("document_id", "doc_name", F.col("page_count").alias("pages")).join(counts, "document_id", "left").na.fill(0, ["chunks"])
+
+
+@_query(f"SELECT chunk_id, sha256('[' || chunk_id || '] ' || coalesce(source, '') || ', ' || CASE WHEN page_start = page_end THEN 'page ' || page_start ELSE 'pages ' || page_start || '-' || page_end END || CASE WHEN len(section_path) > 0 THEN ' — ' || array_to_string(section_path, ' › ') ELSE '' END || chr(10) || CASE WHEN coalesce(context_summary, '') <> '' THEN 'Context: ' || context_summary || chr(10) ELSE '' END || coalesce(raw_content, '')) AS cited_hash FROM {_CHUNKS}")
+def format_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk as it is cited."""
+    c = _chunks(spark, sf, "source", "page_start", "page_end", "section_path", "context_summary", "raw_content")
+    cited = chunks.format_chunk(*(F.col(x) for x in ("chunk_id", "source", "page_start", "page_end", "section_path", "context_summary", "raw_content")))
+    return c.select("chunk_id", F.sha2(cited, 256).alias("cited_hash"))
 
 
 # ------------------------------------------------------------------ profiles
@@ -410,12 +592,28 @@ def chunk_structure(spark: SparkSession, sf: str) -> DataFrame:
     return profile.structure(_blocks(spark, sf), "document_id")
 
 
-@_query()
+_BEFORE = f"(SELECT *, lag(kind) OVER w AS bk, lag(text) OVER w AS bt FROM {_BLOCKS} WINDOW w AS (PARTITION BY document_id ORDER BY page_number, n))"
+_ROWS = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@_query(f"SELECT document_id, block_id, CAST(len({_ROWS}) - 2 AS INT) AS table_rows, CAST(len(string_split_regex(regexp_replace(({_ROWS})[1], '^\\||\\|$', '', 'g'), '\\|')) AS INT) AS table_columns, CASE WHEN bk = 'text' AND length(bt) <= 200 THEN bt ELSE '' END AS caption FROM {_BEFORE} WHERE kind = 'table'")
 def table_captions(spark: SparkSession, sf: str) -> DataFrame:
     return profile.table_captions(_blocks(spark, sf), "document_id")
 
 
-@_query()
+_QUALITY = f"""WITH b AS (SELECT *, length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) AS vis, len(regexp_extract_all(coalesce(text, ''), '\\p{{L}}')) AS letters,
+  list_filter({_ROWS}, lambda x: NOT regexp_matches(x, '^\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)*\\|?$')) AS rws FROM {_BLOCKS}),
+c AS (SELECT *, flatten(list_transform(rws, lambda x: list_transform(string_split_regex(regexp_replace(x, '^\\||\\|$', '', 'g'), '\\|'), lambda y: trim(y)))) AS cells FROM b),
+h AS (SELECT document_id, count(*) AS headings, max(lv) AS max_depth, sum(CASE WHEN length(text) > 120 THEN 1 ELSE 0 END) AS long_headings, sum(CASE WHEN lv > coalesce(pl, 99) + 1 THEN 1 ELSE 0 END) AS level_jumps FROM (SELECT *, coalesce(heading_level, 1) AS lv, lag(coalesce(heading_level, 1)) OVER (PARTITION BY document_id ORDER BY page_number, n) AS pl FROM {_BLOCKS} WHERE kind = 'heading') GROUP BY document_id),
+d AS (SELECT document_id, count(confidence) AS ocr_blocks, round(avg(confidence), 3) AS mean_confidence, sum(CASE WHEN confidence < 0.8 THEN 1 ELSE 0 END) AS low_confidence, sum(CASE WHEN kind IN ('text', 'list') THEN 1 ELSE 0 END) AS prose_blocks, sum(CASE WHEN kind IN ('text', 'list') AND vis >= 40 AND letters < 0.5 * vis THEN 1 ELSE 0 END) AS garbled_blocks,
+  sum(CASE WHEN kind = 'table' THEN 1 ELSE 0 END) AS tables, sum(CASE WHEN kind = 'table' AND len(cells) >= 4 AND len(list_filter(cells, lambda y: y = '')) > 0.4 * len(cells) THEN 1 ELSE 0 END) AS sparse_tables, sum(CASE WHEN kind = 'figure' THEN 1 ELSE 0 END) AS figures, sum(CASE WHEN kind = 'figure' AND regexp_matches(coalesce(text, ''), '!\\[[^\\]]*[^\\s\\]][^\\]]*\\]') THEN 1 ELSE 0 END) AS captioned FROM c GROUP BY document_id),
+p AS (SELECT document_id, count(*) AS pages, sum(CASE WHEN source = 'text-layer' THEN 1 ELSE 0 END) AS text_pages, sum(CASE WHEN trim(regexp_replace(coalesce(markdown, ''), '\\s+', ' ', 'g')) = '' THEN 1 ELSE 0 END) AS empty_pages FROM {_PAGES} GROUP BY document_id),
+k AS (SELECT document_id, count(*) AS chunks, sum(CASE WHEN token_count < 64 THEN 1 ELSE 0 END) AS small, sum(CASE WHEN token_count > 512 THEN 1 ELSE 0 END) AS large FROM {_CHUNKS} GROUP BY document_id),
+a AS (SELECT p.document_id, pages, CAST(text_pages AS BIGINT) AS text_pages, CAST(empty_pages AS BIGINT) AS empty_pages, mean_confidence, """ + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("headings", "max_depth", "long_headings", "level_jumps", "ocr_blocks", "low_confidence", "prose_blocks", "garbled_blocks", "tables", "sparse_tables", "figures", "captioned", "chunks", "small", "large")) + """ FROM p LEFT JOIN d USING (document_id) LEFT JOIN h USING (document_id) LEFT JOIN k USING (document_id))
+SELECT *, concat_ws('|', CASE WHEN empty_pages > 0 THEN 'empty_pages' END, CASE WHEN ocr_blocks > 0 AND low_confidence > 0.1 * ocr_blocks THEN 'low_confidence' END, CASE WHEN garbled_blocks > 0 THEN 'garbled' END, CASE WHEN sparse_tables > 0 THEN 'sparse_tables' END, CASE WHEN long_headings > 0 THEN 'long_headings' END, CASE WHEN level_jumps > 0 THEN 'level_jumps' END, CASE WHEN large > 0 THEN 'large_chunks' END, CASE WHEN chunks >= 10 AND small > 0.1 * chunks THEN 'small_chunks' END, CASE WHEN captioned < figures THEN 'figures_without_caption' END) AS flags FROM a"""
+
+
+@_query(_QUALITY)
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:
     return profile.quality(_blocks(spark, sf), _pages(spark, sf), _chunks(spark, sf, "document_id", "token_count"), "document_id")
 
@@ -463,6 +661,89 @@ def locate_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return boxes.join(blocks, ["document_id", "page_number"]).filter(geometry.coverage(F.col("box"), F.col("c")) >= 0.5).groupBy("chunk_id").agg(F.count("*").alias("blocks"))
 
 
+_KEY = "regexp_replace(replace(replace(lower(nfc_normalize(coalesce({}, ''))), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_LOCATED = f"""c AS (SELECT chunk_id, document_id, raw_content AS t, page_start, page_end, {_KEY.format("raw_content")} AS k FROM {_CHUNKS}),
+b AS (SELECT document_id, page_number, block_id, text AS bt, {_KEY.format("text")} AS bk FROM {_BLOCKS}),
+j AS (SELECT DISTINCT chunk_id, c.document_id, page_number, block_id FROM c JOIN b ON b.document_id = c.document_id AND b.page_number BETWEEN c.page_start AND c.page_end WHERE k <> '' AND bk <> '' AND CASE WHEN length(bk) < 4 THEN bk = k OR list_contains(list_transform(string_split(t, chr(10)), lambda x: trim(x)), trim(bt)) ELSE contains(k, bk) OR (length(bk) >= 40 AND (contains(bk, k) OR contains(bk, substr(k, 1, 40)) OR contains(bk, right(k, 40)))) END)"""
+
+
+@_query(f"WITH {_LOCATED} SELECT chunk_id, page_number, block_id FROM j")
+def chunk_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks that a chunk's text covers on its pages."""
+    c = _chunks(spark, sf, "document_id", "raw_content", "page_start", "page_end")
+    return positions.located(c, _blocks(spark, sf)).select("chunk_id", "page_number", "block_id")
+
+
+@_query(f"WITH {_LOCATED}, i AS (SELECT document_id, block_id, string_agg(DISTINCT chunk_id, '|' ORDER BY chunk_id) AS ids FROM j GROUP BY ALL) SELECT b.document_id, b.block_id, b.kind, b.label, b.confidence, coalesce(i.ids, '') AS chunk_ids FROM {_BLOCKS} b LEFT JOIN i USING (document_id, block_id)")
+def document_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Every block with the chunks its text is in."""
+    c = _chunks(spark, sf, "document_id", "raw_content", "page_start", "page_end")
+    out = positions.document_layout(_blocks(spark, sf), c)
+    return out.select("document_id", "block_id", "kind", "label", "confidence", F.array_join("chunk_ids", "|").alias("chunk_ids"))
+
+
+@_query(f"WITH c AS (SELECT chunk_id, document_id, unnest(boxes) AS c FROM {_CHUNKS}), j AS (SELECT c.chunk_id, b.block_id, c.c AS c, b.box AS b, greatest(0, least(c.c.x + c.c.w, b.box.x + b.box.w) - greatest(c.c.x, b.box.x)) * greatest(0, least(c.c.y + c.c.h, b.box.y + b.box.h) - greatest(c.c.y, b.box.y)) AS i FROM c JOIN {_BLOCKS} b ON b.document_id = c.document_id AND b.page_number = c.c.page WHERE b.box IS NOT NULL) SELECT chunk_id, block_id, round(max(i / (c.w * c.h + b.w * b.h - i)), 6) AS iou FROM j WHERE i > 0 GROUP BY ALL")
+def box_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """How far a chunk's boxes and the blocks they meet are the same."""
+    boxes = _chunks(spark, sf, "document_id", "boxes").select("chunk_id", "document_id", F.explode("boxes").alias("c")).withColumn("page_number", F.col("c.page"))
+    blocks = _blocks(spark, sf).filter("box IS NOT NULL").select("document_id", "page_number", "block_id", "box")
+    met = boxes.join(blocks, ["document_id", "page_number"]).withColumn("iou", geometry.iou(F.col("box"), F.col("c"))).filter("iou > 0")
+    return met.groupBy("chunk_id", "block_id").agg(F.round(F.max("iou"), 6).alias("iou"))
+
+
+@_query(f"SELECT document_id, page_number, text, count(*) AS times FROM {_BLOCKS} WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def repeated_on_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that stand more than once on a page, which are no headings."""
+    return _blocks(spark, sf).filter("text IS NOT NULL").groupBy("document_id", "page_number", "text").agg(F.count("*").alias("times")).filter("times > 1")
+
+
+def text_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Text runs as a reader would find them on the pages: the blocks' words, nine a line, and tables' cells, at their places."""
+    sizes = _t(spark, sf, "pdf_text_pages").groupBy("document_id", "page_number").agg(F.max("width").alias("page_width"), F.max("height").alias("page_height"))
+    b = _blocks(spark, sf).filter("box IS NOT NULL AND text IS NOT NULL").join(sizes, ["document_id", "page_number"])
+    size = F.when(F.col("kind") == "heading", 20.0 - 2 * F.coalesce("heading_level", F.lit(1))).otherwise(10.0)
+    left, top = F.col("box.x") * F.col("page_width"), F.col("page_height") * (1 - F.col("box.y"))
+    plain = F.when(F.col("kind") == "heading", F.regexp_replace("text", r"^#+\s*", "")).otherwise(F.col("text"))
+    words = F.split(F.trim(F.regexp_replace(plain, r"\s+", " ")), " ")
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 9).cast("int")), lambda k: F.struct(k.alias("row"), F.lit(0).alias("col"), F.array_join(F.slice(words, k * 9 + 1, 9), " ").alias("s")))
+    rows = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^[\s|:-]+$"))
+    cells = F.flatten(F.transform(rows, lambda x, r: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c, j: F.struct(r.alias("row"), j.alias("col"), F.trim(c).alias("s")))))
+    n = F.when(F.col("kind") == "table", F.size(rows)).otherwise(F.size(lines))
+    # lines share their block's height, so that blocks don't run into each other
+    step = F.least(size * 1.2, F.col("box.h") * F.col("page_height") / F.greatest(n, F.lit(1)))
+    placed = b.select("*", size.alias("most"), left.alias("left"), top.alias("top"), step.alias("step"), F.explode(F.when(F.col("kind") == "table", cells).otherwise(lines)).alias("i")).filter("i.s <> ''").withColumn("size", F.least("most", F.col("step") / 1.2))
+    return placed.select(
+        "document_id", "page_number", "page_width", "page_height", F.col("i.s").alias("text"),
+        (F.col("left") + F.col("i.col") * 110).alias("x"), (F.col("top") - F.col("step") * (F.col("i.row") + 0.9)).alias("y"),
+        (F.length("i.s") * F.col("size") * 0.45).alias("width"), "size", F.when(F.col("kind") == "heading", "Bold").otherwise("Body").alias("font"), F.lit(False).alias("rotated"), "confidence",
+    )
+
+
+@_query()
+def pages_from_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages composed from positioned text runs."""
+    return compose.pages_from_items(text_items(spark, sf)).select("document_id", "page_number", "markdown")
+
+
+@_query()
+def pages_reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the composed order of a page's blocks is from top to bottom."""
+    composed = compose.pages_from_items(text_items(spark, sf)).filter("size(spans) > 0")
+    return composed.select("document_id", "page_number", F.size("spans").alias("blocks"), metrics.order_distance(F.transform("spans", lambda s: F.round(s["y"], 3))).alias("distance"))
+
+
+@_query()
+def page_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Composed pages scored against the blocks they come from."""
+    blocks = _blocks(spark, sf).filter("box IS NOT NULL AND kind <> 'figure'")
+    kind = F.when(F.col("kind") == "table", "table").otherwise("text")
+    true = blocks.select("document_id", "page_number", kind.alias("kind"), F.when(F.col("kind") == "table", metrics.markdown_table_html(F.when(F.col("kind") == "table", F.col("text")))).otherwise(F.coalesce("text", F.lit(""))).alias("text"), *(F.col(f"box.{c}").alias(c) for c in "xywh"), F.col("n").cast("double").alias("order"))
+    spans = compose.pages_from_items(text_items(spark, sf)).select("document_id", "page_number", F.posexplode("spans").alias("i", "s"))
+    is_table = F.col("s.text").startswith("|")
+    found = spans.select("document_id", "page_number", F.when(is_table, "table").otherwise("text").alias("kind"), F.when(is_table, metrics.markdown_table_html(F.when(is_table, F.col("s.text")))).otherwise(F.col("s.text")).alias("text"), *(F.col(f"s.{c}").alias(c) for c in "xywh"), F.col("i").cast("double").alias("order"))
+    return metrics.page_scores(true, found)
+
+
 @_query("SELECT o_orderkey, strftime(DATE '1899-12-30' + CAST(30000 + o_orderkey % 15000 AS INT), '%Y-%m-%d') AS iso FROM orders")
 def excel_serial_dates(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "orders").select("o_orderkey", excel.serial_to_iso(F.lit(30000) + F.col("o_orderkey") % 15000).alias("iso"))
@@ -503,6 +784,8 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables of chunks parsed, written as HTML and compared with themselves by tree edit distance."""
+    """Tables written as HTML and read back, compared with themselves and with the table without its last row, by tree edit distance."""
     tables = _blocks(spark, sf).filter("kind = 'table'")
-    return tables.select("document_id", "block_id", metrics.markdown_table_html("text").alias("html")).withColumn("teds", metrics.teds("html", "html"))
+    html = tables.select("document_id", "block_id", metrics.markdown_table_html("text").alias("html"), metrics.markdown_table_html(F.regexp_replace("text", r"\n[^\n]*\s*\z", "")).alias("shorter"))
+    back = html.withColumn("again", metrics.markdown_table_html(metrics.html_table_markdown("html")))
+    return back.select("document_id", "block_id", F.round(metrics.teds("html", "again"), 6).alias("same"), F.round(metrics.teds("html", "shorter"), 6).alias("edited"))

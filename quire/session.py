@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -21,6 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -40,3 +43,23 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))  # served to the executors by the driver
         _shipped.add(sc.applicationId)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a frame to the shared checkpoint folder and reads it from there, without what it was made from.
+
+    The folder is the session's (``spark.checkpoint.dir``). Only a local session without one
+    gets a temporary folder, removed at the end; on a cluster, whose executors share no such
+    folder, a missing setting is an error. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes what is no longer used.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quire-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

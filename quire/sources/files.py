@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,17 @@ def detect_kind(content: Column, path: Column) -> Column:
     )
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, length, content, kind and document_id (SHA-256 of the bytes) of all files below a path; empty, hidden and dependency files are left out."""
+def read_files(spark: SparkSession, path: str, glob: str = "*", output: str | None = None) -> DataFrame:
+    """path, length, content, kind and document_id (SHA-256 of the bytes) of all files below a path.
+
+    Empty, hidden and dependency files are left out, as is what lies below ``output``, the
+    folder results are written to.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     kept = files.filter((F.col("length") > 0) & ~F.col("path").rlike(r"/(?:\.[^/]+|node_modules)(?:/|$)"))
+    if output is not None:
+        plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+        kept = kept.filter(~plain.startswith(re.sub(r"^[a-z]+:/*", "/", output).rstrip("/") + "/"))
     return kept.select("path", "length", "content", detect_kind(F.col("content"), F.col("path")).alias("kind"), F.sha2("content", 256).alias("document_id"))
 
 
@@ -44,3 +53,13 @@ def documents(files: DataFrame) -> DataFrame:
     as_text = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
     body = F.when(F.col("kind").isin("markdown", "text"), as_text).when(F.col("kind") == "html", html.to_markdown(F.when(F.col("kind") == "html", as_text))).when(F.col("kind").isin("docx", "pptx", "xlsx"), office.to_markdown("kind", "content"))
     return files.select("document_id", "path", "kind", body.alias("markdown"))
+
+
+QUESTIONS = "version int, documentId string, source string, model string, questions array<struct<id:int,question:string,evidence:string,page:int>>"
+
+
+def question_sets(spark: SparkSession, path: str) -> DataFrame:
+    """document_id, source, model, question_id, question, evidence, page of question files (JSON); a file that isn't one is an error."""
+    sets = spark.read.schema(QUESTIONS).json(path, multiLine=True, mode="FAILFAST")
+    rows = sets.select(F.col("documentId").alias("document_id"), "source", "model", F.explode("questions").alias("q"))
+    return rows.select("document_id", "source", "model", F.col("q.id").alias("question_id"), "q.question", "q.evidence", "q.page")

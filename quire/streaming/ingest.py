@@ -17,10 +17,13 @@ def stream_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_chunks(spark: SparkSession, source: str, target: str, checkpoint: str, options: Options = Options()) -> StreamingQuery:  # noqa: B008
-    """Chunks of every file that arrives below ``source`` are appended to the Parquet table ``target``."""
+    """Chunks of every file that arrives below ``source``, as partitions ``batch`` of the Parquet table ``target``.
+
+    A batch that is tried again replaces its own partition, so its rows are never doubled.
+    """
     docs = documents(stream_files(spark, source)).filter("markdown IS NOT NULL")
 
-    def write(batch: DataFrame, _: int) -> None:
-        chunk_documents(batch, "document_id", "markdown", options).write.mode("append").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        chunk_documents(batch, "document_id", "markdown", options).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
