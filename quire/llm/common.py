@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.session import cut as cut
+
 #: A word is a maximal run of letters or digits.
 WORD = re.compile(r"[^\W_]+")
 MARKS = regex.compile(r"\p{M}+")
@@ -22,18 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder.
-
-    The folder is the session's (``spark.checkpoint.dir``); only where none is set, as in
-    tests, a temporary one is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
-    return df.checkpoint(eager=True)
-
-
 def fold(text: str) -> str:
     """Lower case without accents; the Turkish dotless i counts as i."""
     if text.isascii():
