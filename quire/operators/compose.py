@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
@@ -171,15 +172,13 @@ def to_lines(runs: list[Run], width: float, regions: list[Region] | None = None)
     turned = [Line(" ".join(r.text.split()), r.y, r.x, r.end, r.size, r.font, rotated=True) for r in runs if r.rotated and r.text.strip()]
     flat = sorted((r for r in runs if not r.rotated and r.text), key=lambda r: (-r.y, r.x))
     rows: list[tuple[float, list[Run]]] = []
-    recent = 0  # rows far above can't take a run any more
+    heights: list[float] = []  # of the rows, negative, ascending
     for r in flat:
-        reach = max(2.0, r.size * 0.45)
-        while recent < len(rows) and rows[recent][0] - r.y > 200:
-            recent += 1
-        row = next((row for row in rows[recent:] if abs(row[0] - r.y) <= reach), None)
-        if row is None:
-            rows.append(row := (r.y, []))
-        row[1].append(r)
+        at = bisect_left(heights, -r.y - max(2.0, r.size * 0.45))  # the highest row within reach
+        if at == len(rows):
+            rows.append((r.y, []))
+            heights.append(-r.y)
+        rows[at][1].append(r)
     columns = page_gutter(flat, width)
     gutter = columns if columns is not None else _strip([g for _, rs in rows if (g := _wide_gap(rs, width))], width)
     out = []

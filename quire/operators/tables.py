@@ -67,6 +67,11 @@ def within(x: Line, r: Rect, by: float = NEAR) -> bool:
     return r[0] - by <= (x.x0 + x.x1) / 2 <= r[2] + by and r[1] - by <= middle(x) <= r[3] + by
 
 
+def without(lines: Iterable[Line], gone: Iterable[Line]) -> list[Line]:
+    ids = {id(x) for x in gone}
+    return [x for x in lines if id(x) not in ids]
+
+
 def covered_share(inner: Rect, outer: Rect) -> float:
     area = (inner[2] - inner[0]) * (inner[3] - inner[1])
     return shared(inner[0], inner[2], outer[0], outer[2]) * shared(inner[1], inner[3], outer[1], outer[3]) / area if area > 0 else 0.0
@@ -324,7 +329,7 @@ def rule_bounded(lines: list[Line], flat: list, width: float, taken: list[Rect])
         if found:
             found.source, found.box = "rules", (region[0], min(region[1], found.box[1]), region[2], max(region[3], found.box[3]))
             out.append(found)
-            free = [x for x in free if not any(x is y for y in inside)]
+            free = without(free, inside)
     return out
 
 
@@ -396,7 +401,7 @@ def detect(lines: list[Line], drawn: Iterable[Rect], width: float, hints: list[R
     is aligned with wider limits, or gets a structure model's cells where these place more text.
     """
     flat, upright = rulings(drawn)
-    outside = lambda pool, found: [x for x in pool if not any(x is y for f in found for y in f.lines)]
+    outside = lambda pool, found: without(pool, [x for f in found for x in f.lines])
     found = ruled(lines, flat, upright)
     rest = outside(lines, found)
     found += rule_bounded(rest, flat, width, [f.box for f in found])

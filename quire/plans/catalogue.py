@@ -272,7 +272,7 @@ SELECT mode, {_METRICS} FROM rr GROUP BY mode""")
 def eval_all_modes(spark: SparkSession, sf: str) -> DataFrame:
     """All modes over each question's own document; vectors by a rule, as no model is here."""
     body, questions, scores = _evaluated(spark, sf)
-    lexical, embedder = retrieval.ranked(scores, None), stages.LetterEmbedder(_LETTERS)
+    lexical, embedder = retrieval.ranked(scores, None), stages.LetterEmbedder(_LETTERS, max_tokens=1_000_000)
     none = spark.createDataFrame([], "cache_key string, vector array<double>")
     of = lambda df, key, column, kind: df.select("document_id", F.col(key).alias("key")).join(stages.embedded(df, key, column, none, embedder, kind).select("key", "vector"), "key")
     asked, held = of(questions, "q", "question", "query").toDF("query", "document_id", "qv"), of(body, "chunk_id", "raw_content", "document").toDF("id", "document_id", "cv")
@@ -704,8 +704,8 @@ def text_items(spark: SparkSession, sf: str) -> DataFrame:
     size = F.when(F.col("kind") == "heading", 20.0 - 2 * F.coalesce("heading_level", F.lit(1))).otherwise(10.0)
     left, top = F.col("box.x") * F.col("page_width"), F.col("page_height") * (1 - F.col("box.y"))
     plain = F.when(F.col("kind") == "heading", F.regexp_replace("text", r"^#+\s*", "")).otherwise(F.col("text"))
-    words = F.split(F.trim(F.regexp_replace(plain, r"\s+", " ")), " ")
-    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 9).cast("int")), lambda k: F.struct(k.alias("row"), F.lit(0).alias("col"), F.array_join(F.slice(words, k * 9 + 1, 9), " ").alias("s")))
+    nine = F.regexp_extract_all(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(r"(?:\S+ ){0,8}\S+"), 0)
+    lines = F.transform(nine, lambda x, k: F.struct(k.alias("row"), F.lit(0).alias("col"), x.alias("s")))
     rows = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^[\s|:-]+$"))
     cells = F.flatten(F.transform(rows, lambda x, r: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c, j: F.struct(r.alias("row"), j.alias("col"), F.trim(c).alias("s")))))
     n = F.when(F.col("kind") == "table", F.size(rows)).otherwise(F.size(lines))
