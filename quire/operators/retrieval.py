@@ -91,27 +91,88 @@ def bm25_index(docs: DataFrame, key: str, text: Column, pool: Column | None = No
     return Bm25(cut(_tokenised(rows)), keys)
 
 
-def bm25_scores(index: Bm25, queries: DataFrame, key: str, text: Column, pool: Column | None = None, sent_terms: int = SENT_TERMS) -> DataFrame:
+#: Entries of a term by query matrix that is sent to the workers, and such matrices at most.
+MATRIX, MATRICES = 4_000_000, 8
+#: Documents scored together.
+TOGETHER = 256
+
+
+def bm25_scores(index: Bm25, queries: DataFrame, key: str, text: Column, pool: Column | None = None, sent_terms: int = SENT_TERMS, matrix: int = MATRIX, k: int | None = None) -> DataFrame:
     """(pool, query, id, score) for every document with a term of the query; only positive scores.
 
-    Asked terms meet the postings where these are, if they are few enough to be sent; each
-    task then adds up its documents' scores before anything is shuffled. Otherwise, and with
-    pools, the postings of asked terms are shuffled once by their term.
+    A set of queries whose matrix of terms is small enough is scored a block of documents at a
+    time, by one matrix product where these are; with ``k``, only what can be among a query's
+    best k goes on. Otherwise asked terms meet the postings, where these are if the terms are few enough
+    to be sent, so that each task adds up its documents' scores before anything is shuffled;
+    and by a shuffle on the term if not.
     """
     keys = list(index.keys)
     rows = queries.select(*([pool.alias("pool")] if keys else []), F.col(key).alias("query"), text.alias("body"))
     asked = cut(_tokenised(rows).select(*keys, "query", F.explode("counts.term").alias("term")).distinct())
-    few = not keys and asked.count() <= sent_terms
+    n = asked.count()
+    few = n <= sent_terms
     send = F.broadcast if few else lambda x: x
     names = send(asked.select(*keys, "term").distinct())
     df = index.postings.join(names, [*keys, "term"], "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    wanted = send(asked.join(index.idf(df), [*keys, "term"]))
+    wanted = asked.join(index.idf(df), [*keys, "term"])
+    if few and not keys and n:
+        r = asked.agg(F.count_distinct("term").alias("t"), F.count_distinct("query").alias("q")).first()
+        if r["t"] * r["q"] <= matrix * MATRICES:
+            return _by_matrix(index, wanted.select("query", "term", "idf", "avgdl").toArrow(), dict(queries.dtypes)[key], matrix, k)
     tf, dl = F.col("tf"), F.col("dl")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    hits = index.postings.join(wanted, [*keys, "term"])
+    hits = index.postings.join(send(wanted), [*keys, "term"])
     return hits.groupBy(*keys, "query", "id").agg(F.sum(weight).alias("score")).filter("score > 0")
 
 
+def _by_matrix(index: Bm25, wanted: pa.Table, q_type: str, matrix: int, k: int | None) -> DataFrame:
+    """``wanted``: query, term, idf, avgdl, at most SENT_TERMS rows."""
+    spark = index.docs.sparkSession
+    schema = f"query {q_type}, id {dict(index.docs.dtypes)['id']}, score double"
+    terms, queries = wanted.column("term").combine_chunks().dictionary_encode(), wanted.column("query").combine_chunks().dictionary_encode()
+    if not len(wanted):
+        return spark.createDataFrame([], schema)
+    t, q, idf = terms.indices.to_numpy(), queries.indices.to_numpy(), wanted.column("idf").to_numpy()
+    step, out = max(1, matrix // len(terms.dictionary)), None
+    for first in range(0, len(queries.dictionary), step):
+        some = (q >= first) & (q < first + step)
+        m = np.zeros((len(terms.dictionary), min(step, len(queries.dictionary) - first)))
+        m[t[some], q[some] - first] = idf[some]
+        shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(terms.dictionary.to_pylist())}, queries.dictionary.slice(first, step), m, wanted.column("avgdl")[0].as_py()))
+        got = index.docs.select("id", "dl", "counts").mapInArrow(_products(shared, k), schema)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _products(shared, k: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, m, avgdl = shared.value
+        for batch in batches:
+            counts = batch.column(2)
+            values, ends = counts.flatten(), np.r_[0, np.cumsum(counts.value_lengths().fill_null(0).to_numpy())]
+            known = values.field("term").dictionary_encode()
+            number = np.array([at.get(w, -1) for w in known.dictionary.to_pylist()], np.int64)
+            term = number[known.indices.to_numpy()] if len(values) else np.zeros(0, np.int64)
+            tf = values.field("tf").to_numpy().astype(float)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            scale = K1 * (1 - B + B * batch.column(1).to_numpy().astype(float) / (avgdl or 1.0))
+            weight = tf * (K1 + 1) / (tf + scale[doc])
+            for first in range(0, batch.num_rows, TOGETHER):
+                rows = min(TOGETHER, batch.num_rows - first)
+                part = slice(ends[first], ends[first + rows])
+                ok = term[part] >= 0
+                w = np.zeros((rows, len(m)))
+                w[doc[part][ok] - first, term[part][ok]] = weight[part][ok]
+                score = w @ m
+                keep = score > 0
+                if k is not None and rows > k:
+                    keep &= score >= -np.partition(-score, k - 1, axis=0)[k - 1 : k] - 1e-8
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), batch.column(0).take(pa.array(i + first)), pa.array(score[i, j])], ["query", "id", "score"])
+
+    return run
+
+
 def ranked(scores: DataFrame, k: int | None, by: str = "score", keys: tuple[str, ...] = ("query",), tie: str = "id") -> DataFrame:
     """Adds rank from 1: score to nine decimals descending, then ``tie``; NaN scores are dropped."""
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round(by, 9)), tie)

@@ -121,7 +121,7 @@ def bm25_doc_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topk(index: retrieval.Bm25, items: DataFrame, k: int = 10) -> DataFrame:
-    hits = retrieval.ranked(retrieval.bm25_scores(index, items, "item_id", F.col("item_text")), k)
+    hits = retrieval.ranked(retrieval.bm25_scores(index, items, "item_id", F.col("item_text"), k=k), k)
     return hits.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
@@ -187,7 +187,7 @@ o AS (SELECT p.query, p.id, p.first_rank, count(dt.term) * 1.0 / greatest(max(q.
 @_query(f"WITH {_DOCS}, {_OVERLAP.format(tokens=_tokens('(SELECT id, substr(body, 1, 4000) AS b4 FROM d)', 'id', 'b4'))} SELECT query AS item_id, id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first_rank) AS rank, round(score, 6) AS score FROM o QUALIFY rank <= 10")
 def rerank_two_stage(spark: SparkSession, sf: str) -> DataFrame:
     items, docs = _t(spark, sf, "heldout_items"), _t(spark, sf, "documents")
-    first = retrieval.ranked(retrieval.bm25_scores(_documents_index(spark, sf), items, "item_id", F.col("item_text")), 30)
+    first = retrieval.ranked(retrieval.bm25_scores(_documents_index(spark, sf), items, "item_id", F.col("item_text"), k=30), 30)
     best = retrieval.rerank(first, items.withColumnRenamed("item_id", "q"), F.col("item_text"), docs.withColumnRenamed("doc_id", "d"), F.col("text"), retrieval.overlap_scorer, 10)
     return best.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 

@@ -129,8 +129,8 @@ def test_terms_that_are_not_sent_give_the_same_scores(spark):
     docs = spark.createDataFrame([(1, "the upper pump and the valve"), (2, "a valve"), (3, None), (4, "pump pump pump")], "id int, t string")
     asked = spark.createDataFrame([("q", "pump valve"), ("r", "nothing"), ("s", None)], "k string, t string")
     index = retrieval.bm25_index(docs, "id", F.col("t"))
-    a, b = (sorted((r["query"], r["id"], round(r["score"], 9)) for r in retrieval.bm25_scores(index, asked, "k", F.col("t"), sent_terms=n).collect()) for n in (10, 0))
-    assert a == b and {x[:2] for x in a} == {("q", 1), ("q", 2), ("q", 4)} and index.pools.first()["n"] == 4
+    a, b, c, d = (sorted((r["query"], r["id"], round(r["score"], 9)) for r in retrieval.bm25_scores(index, asked, "k", F.col("t"), sent_terms=n, matrix=m).collect()) for n, m in ((10, 100), (10, 3), (10, 0), (0, 100)))
+    assert a == b == c == d and {x[:2] for x in a} == {("q", 1), ("q", 2), ("q", 4)} and index.pools.first()["n"] == 4
     assert retrieval.bm25_scores(retrieval.bm25_index(docs.limit(0), "id", F.col("t")), asked, "k", F.col("t")).count() == 0
 
 
