@@ -327,5 +327,21 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(links, members).withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p6_found": found, "p6_members": members, "p6_groups": groups}
-ORACLES: dict[str, str] = {}
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks whose words another chunk has too, with the smallest id of these."""
+    rows = cut(records(read(spark, sf_dir, "chunks"), "chunk_id", "raw_content", 3, 20).select("id", "copy").distinct())
+    same = rows.groupBy("copy").agg(F.min("id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(same, "copy").select(F.col("id").alias("chunk_id"), "copy_of")
+
+
+QUERIES = {"p6_found": found, "p6_members": members, "p6_groups": groups, "p6_copies": copies}
+_WORDS = "regexp_extract_all(lower(replace(raw_content, 'İ', 'i')), '[\\p{L}\\p{N}]+')"
+ORACLES = {
+    "p6_found": f"""
+WITH c AS (SELECT DISTINCT chunk_id, {_WORDS} AS w FROM chunks), t AS (SELECT chunk_id, w FROM c WHERE len(w) >= 20),
+g AS (SELECT DISTINCT chunk_id, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY chunk_id),
+s AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT x AS chunk_id_a, y AS chunk_id_b FROM s JOIN n p ON p.chunk_id = x JOIN n q ON q.chunk_id = y WHERE 2 * m >= 0.7 * (p.n + q.n)""",
+    "p6_copies": f"SELECT chunk_id, copy_of FROM (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY w) AS copy_of, count(*) OVER (PARTITION BY w) AS n FROM (SELECT DISTINCT chunk_id, {_WORDS} AS w FROM chunks) WHERE len(w) >= 20) WHERE n > 1",
+}

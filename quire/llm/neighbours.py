@@ -314,4 +314,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": found, "p5_neighbours": neighbours}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p5_found": """
+WITH v AS (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE len(embedding) = 64 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1),
+u AS (SELECT chunk_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE list_inner_product(e, e) > 0),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_inner_product(a.e, b.e) AS s FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5 AND s >= 0.90)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r"""
+}

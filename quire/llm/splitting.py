@@ -171,5 +171,16 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_pieces(spark, sf_dir).filter("piece_index = 0").select(F.col("item_id").alias("chunk_id")).distinct()
 
 
-QUERIES = {"p3_found": found, "p3_chunk_pieces": chunk_pieces, "p3_document_pieces": document_pieces}
-ORACLES = {"p3_found": "SELECT DISTINCT chunk_id FROM chunks WHERE ceil(length(raw_content) / 3.5) > 512"}
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cut chunk with the characters its pieces hold beside the overlaps, and whether all pieces are within the limit and in order."""
+    pieces = chunk_pieces(spark, sf_dir)
+    new = F.length("piece") - F.col("overlap_chars")
+    sound = (F.col("token_count") <= LIMIT_TOKENS) & (F.col("overlap_chars") >= 0) & (F.col("piece_end") - F.col("piece_start") == F.length("piece")) & (F.col("piece_index") < F.col("piece_count"))
+    return pieces.groupBy(F.col("item_id").alias("chunk_id")).agg(F.sum(new).alias("characters"), F.min(sound).alias("sound"), F.sum((F.col("piece_index") == 0).cast("int")).cast("int").alias("texts"))
+
+
+QUERIES = {"p3_found": found, "p3_coverage": coverage, "p3_chunk_pieces": chunk_pieces, "p3_document_pieces": document_pieces}
+ORACLES = {
+    "p3_found": "SELECT DISTINCT chunk_id FROM chunks WHERE ceil(length(raw_content) / 3.5) > 512",
+    "p3_coverage": "SELECT chunk_id, CAST(sum(length(raw_content)) AS BIGINT) AS characters, true AS sound, CAST(count(*) AS INT) AS texts FROM (SELECT DISTINCT chunk_id, raw_content FROM chunks) WHERE ceil(length(raw_content) / 3.5) > 512 GROUP BY chunk_id",
+}
