@@ -19,7 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, offsets, read, strings
+from quire.session import stored
+
+from .common import mix64, offsets, read, strings
 
 FAMILIES = ("html", "wiki", "latex", "markdown")
 #: Tokens of the shortest boilerplate run; characters of a host, and of a group of hosts, that one task takes.
@@ -286,8 +288,17 @@ def chosen(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + view.argmin(axis=1))
 
 
-def _token_hashes(text: str) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(t) for t in _TOKEN.findall(text)], np.uint64)
+class _Hashes(dict):
+    """Hashes of tokens, made once."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token)
+        return h
+
+
+def _token_hashes(text: str, known: _Hashes) -> np.ndarray:
+    tokens = _TOKEN.findall(text)
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 _PLACE_NAMES = ["hash", "page", "row", "place"]
@@ -299,20 +310,23 @@ def _places(run: int, exact: bool):
     half = max(1, run // 2)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for batch in batches:
+            if len(known) > 500_000:
+                known.clear()
             rows, marked = batch.column(0).to_pylist(), batch.column(4).to_pylist() if exact else None
+            parts: list[tuple[np.ndarray, ...]] = []
             for i, (page, host, text) in enumerate(zip(strings(batch, 1), strings(batch, 2), strings(batch, 3))):
-                h = _token_hashes(text)
-                grams = _gram_hashes(h, run if exact else half)
+                grams = _gram_hashes(_token_hashes(text, known), run if exact else half)
                 if exact:
                     at = np.unique((np.array(marked[i], np.int64)[:, None] - np.arange(run - half + 1)).ravel())
                     at = at[(at >= 0) & (at < len(grams))]
                 else:
                     at = chosen(grams, run - half + 1)
-                if len(at):
-                    x = mix64(grams[at] ^ np.uint64(xxhash.xxh3_64_intdigest(host)))
-                    page_hash = xxhash.xxh3_64_intdigest(page) - (1 << 63)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(at), page_hash)), pa.array(np.full(len(at), rows[i])), pa.array(at.astype(np.int32))], _PLACE_NAMES)
+                x = mix64(grams[at] ^ np.uint64(xxhash.xxh3_64_intdigest(host)))
+                parts.append((x.view(np.int64), np.full(len(at), xxhash.xxh3_64_intdigest(page) - (1 << 63)), np.full(len(at), rows[i]), at.astype(np.int32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], _PLACE_NAMES)
 
     return go
 
@@ -344,7 +358,11 @@ def _drop_places(run: int):
     return go
 
 
-def without_boilerplate(cleaned: DataFrame, run: int = RUN, host_chars: int = HOST_CHARS) -> DataFrame:
+#: Large hosts up to which their names are sent to the workers.
+SENT_HOSTS = 100_000
+
+
+def without_boilerplate(cleaned: DataFrame, run: int = RUN, host_chars: int = HOST_CHARS, distinct: bool = False) -> DataFrame:
     """The cleaned rows with text freed of boilerplate, and boilerplate_chars.
 
     Runs of ``run`` tokens that stand on two or more distinct pages (ids) of a host are
@@ -354,13 +372,16 @@ def without_boilerplate(cleaned: DataFrame, run: int = RUN, host_chars: int = HO
     (several small ones together), by suffix ranks. Larger ones are divided by the runs
     themselves, so that no task holds such a host, with the same result: a run of ``run``
     tokens holds a chosen gram of half its length, only grams chosen on several pages are
-    looked at again, and of these places the whole runs are compared.
+    looked at again, and of these places the whole runs are compared. ``distinct`` says that
+    no two rows have the same id, host and text.
     """
-    rows = cleaned.dropDuplicates(["id", "host", "text"]).select("id", F.coalesce("host", F.lit("")).alias("host"), "text", "marks")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = (cleaned if distinct else cleaned.dropDuplicates(["id", "host", "text"])).select("id", F.coalesce("host", F.lit("")).alias("host"), "text", "marks")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     sizes = rows.groupBy("host").agg(F.sum(F.length("text")).alias("n"))
-    hot = sizes.filter(F.col("n") > host_chars).select("host")
-    groups = max(1, -(-int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // GROUP_CHARS))
+    large_host = F.col("n") > host_chars
+    r = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(large_host).alias("large")).first()
+    groups, hot = max(1, -(-int(r["n"]) // GROUP_CHARS)), sizes.filter(large_host).select("host")
+    hot = F.broadcast(hot) if r["large"] <= SENT_HOSTS else hot
     small = rows.join(hot, "host", "left_anti").select("id", "host", "text", "marks").withColumn("g", F.pmod(F.xxhash64("host"), F.lit(groups)))
     done = small.groupBy("g").applyInArrow(lambda t: _host_groups(run)(t), _ROW)
     large = rows.join(hot, "host", "left_semi").select("row", "id", "host", "text", "marks")
@@ -388,7 +409,7 @@ def clean_pages(df: DataFrame, key: str, text: str, host: str, version: str, run
     rows = rows.groupBy("id", "host").agg(F.max_by("t", F.struct("at", "t")).alias("t")).withColumn("t", F.regexp_replace("t", _PAGE, _BREAK))
     whole = clean_markup(rows, "id", "t", "host").withColumn("marks", F.when(F.contains("text", F.lit(_BREAK)), F.col("marks").bitwiseOR(F.lit(1 << FAMILIES.index("html")))).otherwise(F.col("marks")))
     pages = whole.select("host", "marks", "id", F.posexplode(F.split("text", _BREAK)).alias("n", "text"))
-    freed = without_boilerplate(pages.select(F.concat_ws("\1", "id", F.col("n").cast("string")).alias("id"), "host", "text", "marks"), run, host_chars)
+    freed = without_boilerplate(pages.select(F.concat_ws("\1", "id", F.col("n").cast("string")).alias("id"), "host", "text", "marks"), run, host_chars, True)
     part = F.split("id", "\1")
     freed = freed.select(part[0].alias("id"), "host", part[1].cast("int").alias("n"), F.regexp_replace("text", r"^\n+|\n+$", "").alias("text"), "marks", "boilerplate_chars")
     joined = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), lambda x: x != ""), "\n\n")
