@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,23 @@ RUN, HOST_CHARS, GROUP_CHARS = 16, 6_000_000, 3_000_000
 # HTML elements.
 TAGS = "a abbr acronym address article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark math menu meta nav nobr noscript nowiki object ol option p param pre q ref references s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
 
-_PROTECTED = re.compile(r"^[ \t]*(?P<f>```+|~~~+)[^\n]*(?:\n(?:(?!^[ \t]*(?P=f)).*(?:\n|\Z))*)?(?:^[ \t]*(?P=f)[`~]*[ \t]*$)?|(?P<t>`+)(?!`)[^\n]*?(?<!`)(?P=t)(?!`)|(?<!\\)\$\$.+?\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\])\$(?![\w$])|\b[A-Za-z]:\\[\w\\.\-]+|(?<![\\\w])\\\\[A-Za-z][\w.-]*\\[\w\\.-]+", re.M | re.S)
+#: What is left alone, with signs without which it can't be there: fenced code, code, formulas, file paths.
+_PROTECTED = [
+    (("```", "~~~"), r"^[ \t]*(?P<f>```+|~~~+)[^\n]*(?:\n(?:(?!^[ \t]*(?P=f)).*(?:\n|\Z))*)?(?:^[ \t]*(?P=f)[`~]*[ \t]*$)?"),
+    (("`",), r"(?P<t>`+)(?!`)[^\n]*?(?<!`)(?P=t)(?!`)"),
+    (("$",), r"(?<!\\)\$\$.+?\$\$"),
+    (("$",), r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\])\$(?![\w$])"),
+    ((":\\",), r"\b[A-Za-z]:\\[\w\\.\-]+"),
+    (("\\\\",), r"(?<![\\\w])\\\\[A-Za-z][\w.-]*\\[\w\\.-]+"),
+]
+
+
+@lru_cache(maxsize=None)
+def _protecting(there: tuple[bool, ...]) -> re.Pattern:
+    """One pattern of the parts of _PROTECTED that can be there, at most 2^6 of them."""
+    return re.compile("|".join(p for (_, p), t in zip(_PROTECTED, there) if t), re.M | re.S)
+
+
 #: Texts without any of these characters hold no mark.
 _MAYBE = re.compile(r"[<&\\*_~]|\[\[|\{\{|''|^=|\{\||\|\}|\]\(|\[\^|!\[|\]\[|\[https?:", re.M)
 
@@ -51,6 +68,9 @@ _WIKI = [
     (re.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOGALLERY|INDEX|NOINDEX|HIDDENCAT|NOTITLECONVERT|STATICREDIRECT)__"), ""),
     (re.compile(r"~{3,5}(?!~)(?=\s|\Z)(?<!^~~~)", re.M), ""),
 ]
+#: Signs without which a pattern of _WIKI, and of _MARKDOWN, finds nothing.
+_WIKI_SIGNS = ("[[", "[[", "{{", "[http", "''", "=", "|", "|+", "__", "~~~")
+_MARKDOWN_SIGNS = ("![", "](", "][", "<http", "[^", "[^", "*", "_", "~~", "\\")
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|", re.M)
 
 # LaTeX commands that become structure or another text.
@@ -137,7 +157,7 @@ def _marks(text: str, image_alone: Callable[[re.Match], bool]) -> tuple[str, int
     if "[[" in text or "{{" in text or "''" in text or "=" in text or "{|" in text or "|}" in text or "__" in text or "[http" in text or "~~~" in text:
         table = bool(_WIKI_TABLE.search(text))
         for i, (pattern, to) in enumerate(_WIKI):
-            if i == 6 and not table and "|}" not in text:
+            if _WIKI_SIGNS[i] not in text or i == 6 and not table and "|}" not in text:
                 continue
             text = sub(pattern, to, text, 1)
     if "\\" in text:
@@ -150,8 +170,9 @@ def _marks(text: str, image_alone: Callable[[re.Match], bool]) -> tuple[str, int
             text = new
         text = sub(re.compile(r"\\\\(?=\s|\Z)"), "\n", text, 2)
         text = sub(re.compile(r"\\(?=[%&#])"), "", text, 2)
-    for pattern, to in _MARKDOWN:
-        text = sub(pattern, to, text, 3)
+    for sign, (pattern, to) in zip(_MARKDOWN_SIGNS, _MARKDOWN):
+        if sign in text:
+            text = sub(pattern, to, text, 3)
     return text, bits
 
 
@@ -171,7 +192,8 @@ def clean(text: str) -> tuple[str, int]:
         return hide(m) if alone or not before.strip() and (not after or re.match(r"\n[ \t]*(?:\n|\Z)", after)) else m.group()
 
     text = text.replace("\x00", "")
-    hidden = _PROTECTED.sub(hide, text)
+    there = tuple(any(sign in text for sign in signs) for signs, _ in _PROTECTED)
+    hidden = _protecting(there).sub(hide, text) if any(there) else text
     if "![" in hidden:
         hidden = _IMAGE_PARAGRAPH.sub(hide_image, hidden)
     out, bits = _marks(hidden, lambda m: False)
